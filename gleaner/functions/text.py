@@ -111,12 +111,16 @@ def bigrams(text: Column) -> Column:
     )
 
 
-def quote_overlap(query: Column, text: Column) -> Column:
-    """Share of the query's character bigrams found in the text (1.0 = copied wording)."""
-    q, t = norm(query), norm(text)
+def quote_overlap(q: Column, t: Column) -> Column:
+    """Share of the query's character bigrams found in the text (1.0 = copied wording).
+
+    Both sides are columns already passed through `norm`; the text is looked at once per bigram.
+    """
     parts = bigrams(q)
     found = F.size(F.filter(parts, lambda g: F.contains(t, g)))
-    return F.when(F.length(q) == 0, F.lit(0.0)).otherwise(found / F.greatest(F.size(parts), F.lit(1)))
+    return F.when((F.length(q) == 0) | (F.length(t) == 0), F.lit(0.0)).otherwise(
+        found / F.greatest(F.size(parts), F.lit(1))
+    )
 
 
 def normalize_pattern(text: Column) -> Column:
