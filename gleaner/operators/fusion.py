@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.lexical import lexical_score
 from gleaner.operators.ordering import global_rank, top_k
-from gleaner.operators.vectors import all_places, best_first, place_order, rank_route, score_vectors
+from gleaner.operators.vectors import absent_places, best_first, rank_route, score_vectors
 
 # Calibrated defaults, to be replaced for other models.
 RRF_K = 60
@@ -52,19 +52,17 @@ def route_rankings(
     items = docs.select("id")
     lex = lexical_score(queries, docs, script_map)
     lex = lex.withColumn("share", F.round("share", FUSED_DIGITS))
-    placed = [
-        lex.filter(F.col("share") >= lex_floor).select(
-            "query", F.lit("lex").alias("route"), "id", F.col("share").alias("score"), F.lit(0).alias("place")
-        )
-    ]
-    best = []
+    scores = [lex.filter(F.col("share") >= lex_floor).select("query", "id", F.col("share").alias("score"), F.lit("lex").alias("route"))]
+    absent, best = [], []
     for route, (qv, iv) in routes.items():
         live = iv.join(items, "id", "left_semi")
         scored = score_vectors(qv, live)
-        placed.append(all_places(scored, qv, items).withColumn("route", F.lit(route)))
+        scores.append(scored.withColumn("route", F.lit(route)))
+        absent.append(absent_places(scored, live, items).withColumn("route", F.lit(route)))
         if route in text_routes:
             best.append(scored)
-    ranked = global_rank(reduce(DataFrame.unionByName, placed), ["query", "route"], place_order())
+    ranked = global_rank(reduce(DataFrame.unionByName, scores), ["query", "route"], best_first())
+    ranked = reduce(DataFrame.unionByName, absent, ranked)
     evidence = lex.select("query", "id", F.lit(None).cast("double").alias("match"), F.col("share").alias("lex"))
     for scored in best:
         evidence = evidence.unionByName(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.session import cut_lineage
 
 QUERY, ITEM = "query", "id"
 
@@ -49,19 +50,19 @@ def write_postings(docs: DataFrame, table: str, buckets: int, script_map: dict[s
 def score_postings(queries: DataFrame, postings: DataFrame, size: DataFrame, script_map: dict[str, str] | None = None) -> DataFrame:
     """Probe postings (id, gram) with the queries' grams.
 
-    Only grams some query asks for are counted and joined. The postings of a frequent gram are never brought
-    together: they are counted map-side, and the wanted list is small enough for Spark to broadcast or, when it
-    is not, the join is one whose skewed partitions adaptive execution splits.
+    Only postings some query asks for are kept, once, and both the weights and the sums are worked out from
+    them: texts are read a single time. The postings of a frequent gram are never brought together: they are
+    counted map-side, and the wanted list is small enough for Spark to broadcast or, when it is not, the join
+    is one whose skewed partitions adaptive execution splits.
     """
     wanted = query_grams(queries, script_map)
-    listed = wanted.select("gram").distinct()
-    hits = postings.join(listed, "gram", "left_semi")
-    weights = gram_weights(hits, size)
+    hits = cut_lineage(postings.join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    weights = gram_weights(hits, size).drop("unseen")
     weighed = wanted.join(weights, "gram", "left").crossJoin(F.broadcast(size)).select(
         QUERY, "gram", "idf", F.coalesce("idf", F.ln((F.col("n") + 1) / F.lit(0.5))).alias("ask")
     )
     totals = weighed.groupBy(QUERY).agg(F.sum("ask").alias("total"))
-    found = weighed.filter(F.col("idf").isNotNull()).join(postings, "gram").groupBy(QUERY, ITEM).agg(
+    found = weighed.filter(F.col("idf").isNotNull()).join(hits, "gram").groupBy(QUERY, ITEM).agg(
         F.sum("idf").alias("found")
     )
     return found.join(totals, QUERY).select(QUERY, ITEM, (F.col("found") / F.col("total")).alias("share"))

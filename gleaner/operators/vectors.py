@@ -140,7 +140,12 @@ def rank_route(
             scored = _flag_empty(scored, empty)
             order = [F.asc("last"), *order]
         return top_k(scored, ["query"], order, depth).drop("last")
-    return global_rank(all_places(scored, queries, items, empty), ["query"], place_order()).drop("place")
+    if empty is not None:
+        scored = _flag_empty(scored, empty)
+        ranked = global_rank(scored, ["query"], [F.asc("last"), *best_first()]).drop("last")
+    else:
+        ranked = global_rank(scored, ["query"], best_first())
+    return ranked if items is None else ranked.unionByName(absent_places(scored, vectors, items))
 
 
 def _flag_empty(scored: DataFrame, empty: DataFrame) -> DataFrame:
@@ -148,25 +153,17 @@ def _flag_empty(scored: DataFrame, empty: DataFrame) -> DataFrame:
     return scored.join(marks, "id", "left").withColumn("last", F.coalesce("_empty", F.lit(False))).drop("_empty")
 
 
-def place_order() -> list[Column]:
-    return [F.asc("place"), F.desc_nulls_last("score"), F.asc("id")]
-
+def absent_places(scored: DataFrame, vectors: DataFrame, items: DataFrame) -> DataFrame:
+    """(query, id, score, rank) of items with no vector on the route: after all that have one, by id.
 
-def all_places(scored: DataFrame, queries: DataFrame, items: DataFrame | None, empty: DataFrame | None = None) -> DataFrame:
-    """Every item with its place class: 0 scored, 1 scored but flagged empty, 2 without a vector."""
-    if empty is not None:
-        scored = _flag_empty(scored, empty).select("query", "id", "score", F.col("last").cast("int").alias("place"))
-    else:
-        scored = scored.select("query", "id", "score", F.lit(0).alias("place"))
-    if items is None:
-        return scored
-    answered = scored.select("query").distinct()
-    without = items.select("id").join(scored.select("id").distinct(), "id", "left_anti")
-    # an answer lists every item: this product is the size of the result itself, and its left side is bounded
-    absent = without.crossJoin(F.broadcast(answered)).select(
-        "query", "id", F.lit(None).cast("double").alias("score"), F.lit(2).alias("place")
+    Their order is the same for every query, so they are numbered once and each query's list repeats it.
+    """
+    answered = scored.groupBy("query").agg(F.count(F.lit(1)).alias("_n"))  # at most MAX_QUERIES rows
+    without = items.select("id").join(vectors.select("id"), "id", "left_anti")
+    numbered = global_rank(without, [], [F.asc("id")], "_place")
+    return numbered.crossJoin(F.broadcast(answered)).select(
+        "query", "id", F.lit(None).cast("double").alias("score"), (F.col("_n") + F.col("_place")).alias("rank")
     )
-    return scored.unionByName(absent)
 
 
 def compare_vectors(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,0 +1,10 @@
+"""Queries by area."""
+
+from importlib import import_module
+
+AREAS = ("retrieval", "evaluation")
+
+
+def load() -> None:
+    for area in AREAS:
+        import_module(f"gleaner.plans.{area}")
