@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("retrieval", "evaluation")
+AREAS = ("retrieval", "evaluation", "cleaning", "ingest")
 
 
 def load() -> None:
