@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("retrieval", "evaluation", "cleaning", "ingest")
+AREAS = ("retrieval", "evaluation", "cleaning", "ingest", "logs")
 
 
 def load() -> None:
