@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import dense_length, squeeze
-from gleaner.operators.ordering import global_rank
+from gleaner.operators.ordering import global_rank, top_k
 from gleaner.sources.logs import latest
 from gleaner.sources.pages import clean_meta
 
@@ -19,6 +19,7 @@ BUILT_IN = ("全部", "我喜欢")
 DEFAULT_NAME = "分享的图集"
 SHARED_SUFFIX, SHARED_SUFFIX_N = "（分享）", "（分享 %d）"
 LIKED = "liked"
+MAX_SUFFIX = 999
 
 
 # ---- review and visibility
@@ -265,7 +266,11 @@ def import_provenance(statuses: DataFrame, sources: DataFrame, names: DataFrame)
 
 
 def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
-    """(cid, name): each wanted name, with the smallest free suffix where it is taken."""
+    """(cid, name): each wanted name, with the smallest free suffix where it is taken.
+
+    Collections that want the same name get the free ones in order of cid; beyond the last suffix the name is
+    null: too many collections are called that.
+    """
     base = F.substring(squeeze(F.coalesce("name", F.lit(""))), 1, MAX_NAME - 6)
     asked = wanted.select("cid", F.when(base == "", F.lit(DEFAULT_NAME)).otherwise(base).alias("_base"))
     spark = wanted.sparkSession
@@ -276,10 +281,11 @@ def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     plain, first = F.regexp_extract("name", pattern, 1), F.col("name").endswith(SHARED_SUFFIX)
     place = F.when(nth != "", nth.try_cast("int")).when(first, F.lit(1)).otherwise(F.lit(0))
     places = used.select(plain.alias("_base"), place.alias("_n")).unionByName(used.select(F.col("name").alias("_base"), F.lit(0).alias("_n")))
-    places = places.filter(F.col("_n").between(0, 999)).groupBy("_base").agg(F.collect_set("_n").alias("_used"))  # at most 1000
-    joined = asked.join(places, "_base", "left")
+    places = places.filter(F.col("_n").between(0, MAX_SUFFIX)).groupBy("_base").agg(F.collect_set("_n").alias("_used"))  # at most 1000
+    turns = top_k(asked, ["_base"], [F.asc("cid")], MAX_SUFFIX + 1, "_turn")
+    joined = turns.join(places, "_base", "left")
     used_set = F.coalesce("_used", F.array().cast("array<int>"))
-    free = F.array_min(F.array_except(F.sequence(F.lit(0), F.lit(999)), used_set))
-    name = F.when(free == 0, F.col("_base")).when(free == 1, F.concat("_base", F.lit(SHARED_SUFFIX))).otherwise(
-        F.concat(F.col("_base"), F.lit(head), free.cast("string"), F.lit(tail)))
-    return joined.select("cid", name.alias("name"))
+    free = F.get(F.array_sort(F.array_except(F.sequence(F.lit(0), F.lit(MAX_SUFFIX)), used_set)), F.col("_turn").cast("int") - 1)
+    name = F.when(free == 0, F.col("_base")).when(free == 1, F.concat("_base", F.lit(SHARED_SUFFIX))).when(
+        free.isNotNull(), F.concat(F.col("_base"), F.lit(head), free.cast("string"), F.lit(tail)))
+    return wanted.select("cid").join(joined.select("cid", name.alias("name")), "cid", "left")

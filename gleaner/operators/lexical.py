@@ -57,12 +57,18 @@ def score_postings(queries: DataFrame, postings: DataFrame, size: DataFrame, scr
     """
     wanted = query_grams(queries, script_map)
     hits = cut_lineage(postings.join(wanted.select("gram").distinct(), "gram", "left_semi"))
+    return score_hits(wanted, hits, size)
+
+
+def score_hits(wanted: DataFrame, hits: DataFrame, size: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Shares from the postings of the wanted grams; `only` limits the answer, not the weights, to some ids."""
     weights = gram_weights(hits, size).drop("unseen")
     weighed = wanted.join(weights, "gram", "left").crossJoin(F.broadcast(size)).select(
         QUERY, "gram", "idf", F.coalesce("idf", F.ln((F.col("n") + 1) / F.lit(0.5))).alias("ask")
     )
     totals = weighed.groupBy(QUERY).agg(F.sum("ask").alias("total"))
-    found = weighed.filter(F.col("idf").isNotNull()).join(hits, "gram").groupBy(QUERY, ITEM).agg(
+    scored = hits if only is None else hits.join(only.select(ITEM), ITEM, "left_semi")
+    found = weighed.filter(F.col("idf").isNotNull()).join(scored, "gram").groupBy(QUERY, ITEM).agg(
         F.sum("idf").alias("found")
     )
     return found.join(totals, QUERY).select(QUERY, ITEM, (F.col("found") / F.col("total")).alias("share"))

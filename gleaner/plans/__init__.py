@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("retrieval", "evaluation", "cleaning", "ingest", "logs", "curation")
+AREAS = ("retrieval", "evaluation", "cleaning", "ingest", "logs", "curation", "streams")
 
 
 def load() -> None:

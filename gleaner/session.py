@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +27,24 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` in the folder the cluster names; a temporary one only where none is configured."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a temporary one only where none is configured."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(
             sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gleaner-checkpoint-")
         )
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for a stream's results and state."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` to reliable storage, so a lost executor never recomputes what led to it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
