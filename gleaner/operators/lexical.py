@@ -27,16 +27,20 @@ def corpus_size(docs: DataFrame) -> DataFrame:
     return docs.filter(F.length("text") > 0).agg(F.count(F.lit(1)).alias("n"))
 
 
-def gram_weights(postings: DataFrame, size: DataFrame) -> DataFrame:
-    """(gram, df, idf, unseen) of every gram present."""
-    df = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(size)).select(
+def weigh(counts: DataFrame, size: DataFrame) -> DataFrame:
+    """(gram, df, idf, unseen) from document counts; `size` is a single row."""
+    return counts.crossJoin(F.broadcast(size)).select(
         "gram", "df",
         F.ln((F.col("n") + 1) / (F.col("df") + 0.5)).alias("idf"),
         F.ln((F.col("n") + 1) / F.lit(0.5)).alias("unseen"),
     )
 
 
+def gram_weights(postings: DataFrame, size: DataFrame) -> DataFrame:
+    """Weights of every gram present."""
+    return weigh(postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), size)
+
+
 def build_lexical_index(docs: DataFrame, script_map: dict[str, str] | None = None) -> DataFrame:
     """Weights of all grams of the corpus."""
     return gram_weights(document_grams(docs, script_map), corpus_size(docs))
@@ -57,18 +61,16 @@ def score_postings(queries: DataFrame, postings: DataFrame, size: DataFrame, scr
     """
     wanted = query_grams(queries, script_map)
     hits = cut_lineage(postings.join(wanted.select("gram").distinct(), "gram", "left_semi"))
-    return score_hits(wanted, hits, size)
+    return score_hits(wanted, hits, gram_weights(hits, size), size)
 
 
-def score_hits(wanted: DataFrame, hits: DataFrame, size: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """Shares from the postings of the wanted grams; `only` limits the answer, not the weights, to some ids."""
-    weights = gram_weights(hits, size).drop("unseen")
-    weighed = wanted.join(weights, "gram", "left").crossJoin(F.broadcast(size)).select(
+def score_hits(wanted: DataFrame, hits: DataFrame, weights: DataFrame, size: DataFrame) -> DataFrame:
+    """Shares of the documents in `hits`, the postings of wanted grams, by the given weights."""
+    weighed = wanted.join(weights.drop("unseen"), "gram", "left").crossJoin(F.broadcast(size)).select(
         QUERY, "gram", "idf", F.coalesce("idf", F.ln((F.col("n") + 1) / F.lit(0.5))).alias("ask")
     )
     totals = weighed.groupBy(QUERY).agg(F.sum("ask").alias("total"))
-    scored = hits if only is None else hits.join(only.select(ITEM), ITEM, "left_semi")
-    found = weighed.filter(F.col("idf").isNotNull()).join(scored, "gram").groupBy(QUERY, ITEM).agg(
+    found = weighed.filter(F.col("idf").isNotNull()).join(hits, "gram").groupBy(QUERY, ITEM).agg(
         F.sum("idf").alias("found")
     )
     return found.join(totals, QUERY).select(QUERY, ITEM, (F.col("found") / F.col("total")).alias("share"))

@@ -110,3 +110,10 @@ def clean_meta(t: Tables) -> DataFrame:
         F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("page_title"), F.col("url").alias("page_url"),
         F.concat(F.lit("javascript:"), F.col("url")).alias("image_url"), F.lit("dropped").alias("extra"))
     return pages.clean_meta(meta)
+
+
+@query("o01_scan_corpus")
+def scan_corpus(t: Tables) -> DataFrame:
+    """The folder of the tables itself as a corpus of files of one format."""
+    found = files.scan_corpus(t.spark, [t.folder], ("parquet",), magic=(("PARQUET", "^50415231"),))
+    return found.select("id", "relpath", "size", "status")

@@ -96,7 +96,7 @@ def live_match(t: Tables) -> DataFrame:
     """Documents as they come in, against all questions."""
     path = scratch(t.spark, "live")
     docs = _stream(t, "documents").select(F.col("doc_id").alias("id"), "text")
-    flows.live_match(docs, t.questions(), f"{path}/postings", f"{path}/matches", f"{path}/state").awaitTermination()
+    flows.live_match(docs, t.questions(), f"{path}/index", f"{path}/matches", f"{path}/state").awaitTermination()
     return t.spark.read.parquet(f"{path}/matches").select("query", "id", *six("share"))
 
 

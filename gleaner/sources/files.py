@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.joins import lookup_join
+from gleaner.session import cut_lineage
 
 # What counts as a picture, by name and by its first bytes, and how large one may be.
 IMAGE_EXTS = ("jpg", "jpeg", "png", "gif", "webp", "bmp", "heic", "heif")
@@ -24,17 +25,17 @@ def content_id(content: Column) -> Column:
     return F.substring(F.sha2(content, 256), 1, 16)
 
 
-def image_format(content: Column) -> Column:
-    """Format by magic bytes, null for anything else."""
+def file_format(content: Column, magic: Sequence[tuple[str, str]] = MAGIC) -> Column:
+    """Format by first bytes, null for anything else."""
     head = F.hex(F.substring(content, 1, 12))
-    return F.coalesce(*[F.when(head.rlike(pattern), F.lit(name)) for name, pattern in MAGIC])
+    return F.coalesce(*[F.when(head.rlike(pattern), F.lit(name)) for name, pattern in magic])
 
 
 def read_files(spark: SparkSession, source: str) -> DataFrame:
     """All files under a folder, with their path relative to it. Only listed columns are kept in a plan."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source)
-    root = F.lit(source.rstrip("/").split("://")[-1] + "/")
-    rel = F.substring_index(F.col("path"), root, -1)
+    root = source.rstrip("/").split("://")[-1] + "/"
+    rel = F.substring_index("path", root, -1)
     return df.select(
         F.lit(source).alias("source"), rel.alias("relpath"), "path", F.col("length").alias("size"),
         F.col("modificationTime").alias("mtime"), "content",
@@ -59,6 +60,8 @@ def scan_corpus(
     sources: Sequence[str],
     exts: Sequence[str] = IMAGE_EXTS,
     readable: Callable[[bytes], bool] | None = None,
+    magic: Sequence[tuple[str, str]] = MAGIC,
+    max_bytes: int = MAX_BYTES,
 ) -> DataFrame:
     """One row per file: ok, duplicate (with the file it repeats), skipped or unreadable.
 
@@ -68,18 +71,20 @@ def scan_corpus(
         DataFrame.unionByName,
         [read_files(spark, s).withColumn("source_pos", F.lit(i)) for i, s in enumerate(sources)],
     )
+    # the bytes of files nobody asked for, or too large to be one, are never read
     wanted = F.lower(F.substring_index("relpath", ".", -1)).isin(*exts) & F.contains("relpath", F.lit("."))
-    sound = image_format(F.col("content")).isNotNull() & (F.col("size") <= MAX_BYTES)
+    small = files.filter(wanted & (F.col("size") <= max_bytes))
+    rest = files.filter(~(wanted & (F.col("size") <= max_bytes))).drop("content")
+    sound = file_format(F.col("content"), magic).isNotNull()
     if readable is not None:
         check = _validator(readable)
-        sound = sound & F.coalesce(check(F.when(wanted & sound, F.col("content"))), F.lit(False))
-    slim = files.select(
-        "source_pos", "source", "relpath", "path", "size", "mtime", wanted.alias("_wanted"),
-        F.when(wanted, sound).otherwise(F.lit(False)).alias("_sound"),
-        F.when(wanted, content_id(F.col("content"))).alias("id"),
-    )
-    good = dedup_by_content(slim.filter("_wanted AND _sound"), "id", ["source_pos", "relpath"], "path")
-    bad = slim.filter("NOT (_wanted AND _sound)").select(
+        sound = sound & F.coalesce(check(F.when(sound, F.col("content"))), F.lit(False))
+    place = ["source_pos", "source", "relpath", "path", "size", "mtime"]
+    read = small.select(*place, F.lit(True).alias("_wanted"), sound.alias("_sound"), content_id(F.col("content")).alias("id"))
+    read = cut_lineage(read)  # every file is read and hashed once
+    good = dedup_by_content(read.filter("_sound"), "id", ["source_pos", "relpath"], "path")
+    unread = rest.select(*place, wanted.alias("_wanted"), F.lit(False).alias("_sound"), F.lit(None).cast("string").alias("id"))
+    bad = read.filter("NOT _sound").unionByName(unread).select(
         "*", F.lit(None).cast("string").alias("first"), F.lit(False).alias("is_duplicate")
     )
     status = (

@@ -88,22 +88,26 @@ def search_rates(stream: DataFrame, every: str = "1 hour", delay: str = "0 secon
 
 
 def live_match(
-    stream: DataFrame, queries: DataFrame, postings: str, matches: str, state: str, floor: float = 0.5, **kwargs
+    stream: DataFrame, queries: DataFrame, index: str, matches: str, state: str, floor: float = 0.5, **kwargs
 ) -> StreamingQuery:
-    """New documents become findable batch by batch: their postings are added, and standing queries are told.
+    """New documents become findable batch by batch, and standing queries are told of those that match.
 
-    Weights come from all postings so far, the batch's own included.
+    A batch adds its postings, how many of its documents hold each gram, and how many documents it has. Weights
+    are sums of these counts, the batch's own included, so earlier postings are not read again.
     """
     spark = stream.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
         grams = cut_lineage(lexical.document_grams(batch))
-        grams.write.mode("overwrite").parquet(f"{postings}/batch={number}")
-        every = spark.read.parquet(postings)
-        size = every.select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
+        grams.write.mode("overwrite").parquet(f"{index}/postings/batch={number}")
+        grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{index}/counts/batch={number}")
+        lexical.corpus_size(batch).write.mode("overwrite").parquet(f"{index}/sizes/batch={number}")
         wanted = lexical.query_grams(queries)
-        known = every.join(wanted.select("gram").distinct(), "gram", "left_semi")
-        scored = lexical.score_hits(wanted, known, size, grams.select("id").distinct())
+        asked = wanted.select("gram").distinct()
+        counts = spark.read.parquet(f"{index}/counts").join(asked, "gram", "left_semi")
+        size = spark.read.parquet(f"{index}/sizes").agg(F.sum("n").alias("n"))
+        weights = lexical.weigh(counts.groupBy("gram").agg(F.sum("df").alias("df")), size)
+        scored = lexical.score_hits(wanted, grams.join(asked, "gram", "left_semi"), weights, size)
         scored.filter(F.round("share", 12) >= floor).write.mode("overwrite").parquet(f"{matches}/batch={number}")
 
     return each_batch(stream, run, state, **kwargs)
