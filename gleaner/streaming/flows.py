@@ -12,9 +12,12 @@ from gleaner.operators import lexical
 from gleaner.session import cut_lineage
 
 
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def read_files(spark: SparkSession, source: str, max_files: int | None = None) -> DataFrame:
     """New files of a folder as they appear."""
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(source)
