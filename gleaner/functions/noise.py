@@ -24,8 +24,7 @@ _D = "\\p{Nd}"
 _MON = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 ACCOUNT_ID = f"(?:书号|红号|抖音号|快手号|微信号|微博号|视频号|b站号|uid){_S}*[:：]?|(?:微博|微信|b站|id|小红书|红书|抖音|快手|哔哩哔哩){_S}*[:：]"
 ACCOUNT = (
-    f"@[^\\s\\p{{Z}}]|[\\p{{L}}\\p{{N}}_.+-]+@[\\p{{L}}\\p{{N}}_-]+\\.{_W}+|https?://|www\\.|"
-    f"(?:^|{_NW})[\\p{{L}}\\p{{N}}_-]+\\.(?:com|org|net|cn|io|me)(?:{_NW}|$)"
+    f"@[^\\s\\p{{Z}}]|https?://|www\\.|{_W}-*\\.(?:com|org|net|cn|io|me)(?:{_NW}|$)"
 )
 CHROME = (
     "^(?:follow|following|关注|已关注|\\+关注|跟隨|跟随|translate ?tweet|翻译推文|查看翻译|share|分享|转发|评论|点赞|"
@@ -70,17 +69,37 @@ def latin_count(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
 
 
+def has_cjk(text: Column) -> Column:
+    return text.rlike(CJK)
+
+
+def is_account(text: Column) -> Column:
+    return matches(text, ACCOUNT)
+
+
+def is_chrome(text: Column) -> Column:
+    return matches(text, CHROME)
+
+
+def is_account_id(text: Column) -> Column:
+    return matches(text, ACCOUNT_ID)
+
+
 def is_noise(text: Column, score: Column) -> Column:
     """Everything but the corpus-wide rule (lines common to several documents), which needs a join."""
-    t, n = strip(text), norm(text)
-    cjk, latin = cjk_count(t), latin_count(t)
+    t = strip(text)
+    return is_furniture(t, norm(text), score) | is_account(t) | is_chrome(t) | is_account_id(t)
+
+
+def is_furniture(t: Column, n: Column, score: Column) -> Column:
+    """The other rules, for a stripped line and its normal form; cheap ones first."""
+    latin, three_latin = t.rlike("[A-Za-z]"), t.rlike("[A-Za-z](?:[^A-Za-z]*[A-Za-z]){2}")
     without_time = F.regexp_replace(F.regexp_replace(t, _any_case(TIME), ""), _any_case(COUNTS), "")
+    five_cjk = without_time.rlike(f"{CJK}(?:{NOT_CJK}*{CJK}){{4}}")
     return (
-        (n == "") | n.isin(*PLATFORMS) | n.rlike(MISREAD_MARK)
-        | ((F.length(n) <= 2) & (latin > 0) & (cjk > 0))
-        | matches(t, COUNTER)
-        | matches(t, ACCOUNT_ID) | matches(t, ACCOUNT) | matches(t, CHROME) | matches(t, CREDIT) | matches(t, MONTH)
-        | ((matches(t, TIME) | matches(t, COUNTS)) & (cjk_count(without_time) <= 4))
-        | ((cjk == 0) & ((latin <= 2) | (score < MIN_SCORE_LATIN)))
-        | ((cjk > 0) & (score < MIN_SCORE_CJK))
+        (n == "") | n.isin(*PLATFORMS) | ((F.length(n) <= 4) & n.rlike(MISREAD_MARK))
+        | ((F.length(n) <= 2) & latin & has_cjk(t))
+        | F.when(has_cjk(t), score < MIN_SCORE_CJK).otherwise(~three_latin | (score < MIN_SCORE_LATIN))
+        | matches(t, COUNTER) | matches(t, CREDIT) | matches(t, MONTH)
+        | (t.rlike(_D) & (matches(t, TIME) | matches(t, COUNTS)) & ~five_cjk)
     )

@@ -16,24 +16,17 @@ SLOT_PATTERN = r"[\{\[【［][\s\p{Z}]*[XYZxyz][\s\p{Z}]*[\}\]】］]|(?<![A-Za-
 SLOT_MARK = "{S}"
 
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
-_CALM_BLOCKS = [(0x00C0, 0x024F), (0x3001, 0x3029), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF)]
+_LATIN = range(0x00C0, 0x0250)
+_CALM_SPANS = "\\x00-\\x7f\\x{c0}-\\x{24f}\\x{3001}-\\x{3029}\\x{3041}-\\x{3096}\\x{30a1}-\\x{30fa}\\x{4e00}-\\x{9fff}"
 
 
-def _calm_class() -> str:
-    """Characters no compatibility normalisation changes, so rows made of them skip the Python worker."""
-    spans, start = ["\\x00-\\x7f"], None
-    for low, high in _CALM_BLOCKS:
-        for cp in range(low, high + 2):
-            calm = cp <= high and unicodedata.normalize("NFKC", chr(cp)) == chr(cp)
-            if calm and start is None:
-                start = cp
-            elif not calm and start is not None:
-                spans.append(f"\\x{{{start:x}}}-\\x{{{cp - 1:x}}}")
-                start = None
-    return "".join(spans)
+def _unsettled() -> str:
+    """Characters a compatibility normalisation may change: all but a few calm spans, and some Latin letters."""
+    letters = "".join(chr(c) for c in _LATIN if unicodedata.normalize("NFKC", chr(c)) != chr(c))
+    return f"[^{_CALM_SPANS}]|[{letters}]"
 
 
-UNSETTLED_PATTERN = f"[^{_calm_class()}]"
+UNSETTLED_PATTERN = _unsettled()
 
 
 @F.pandas_udf(StringType())
@@ -43,8 +36,8 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfkc(text: Column) -> Column:
     """Compatibility normalisation; only rows that may change are sent to Python."""
-    unsettled = text.rlike(UNSETTLED_PATTERN)
-    return F.when(unsettled, _nfkc(F.when(unsettled, text))).otherwise(text)
+    unsettled = (F.octet_length(text) > F.length(text)) & text.rlike(UNSETTLED_PATTERN)
+    return F.coalesce(_nfkc(F.when(unsettled, text)), text)
 
 
 def strip(text: Column) -> Column:

@@ -47,16 +47,23 @@ def _edge(box: Column, axis: int, largest: bool) -> Column:
 
 
 def _read(line: Column) -> Column:
-    """A line with its place and what it looks like."""
+    """A line with its place and its normal form."""
     t = strip(line["text"])
     return F.struct(
         t.alias("text"), norm(line["text"]).alias("norm"),
         _edge(line["box"], 0, False).alias("left"), _edge(line["box"], 1, False).alias("top"),
         _edge(line["box"], 0, True).alias("right"), _edge(line["box"], 1, True).alias("bottom"),
-        t.startswith("@").alias("handle"),
-        (N.matches(t, N.ACCOUNT) | N.matches(t, N.CHROME)).alias("chrome"),
-        N.matches(t, N.ACCOUNT_ID).alias("account"),
-        N.is_noise(line["text"], line["score"]).alias("noise"),
+        line["score"].alias("score"),
+    )
+
+
+def _judge(x: Column) -> Column:
+    """The line with what its text says about it; each pattern is looked at once."""
+    t = x["text"]
+    return F.struct(
+        *[x[f].alias(f) for f in ("text", "norm", "left", "top", "right", "bottom")],
+        t.startswith("@").alias("handle"), (N.is_account(t) | N.is_chrome(t)).alias("chrome"),
+        N.is_account_id(t).alias("account"), N.is_furniture(t, x["norm"], x["score"]).alias("furniture"),
     )
 
 
@@ -77,7 +84,7 @@ def _is_name(name: Column, handle: Column) -> Column:
     """The line above an account that gives its display name."""
     size = F.length(name["text"])
     last = F.substring(name["text"], -1, 1)
-    latin = (N.cjk_count(name["text"]) == 0) & (size <= 40)
+    latin = ~N.has_cjk(name["text"]) & (size <= 40)
     short = handle & (size <= 12) & ~F.contains(F.lit(N.NAME_ENDS), last)
     return latin | short
 
@@ -185,14 +192,15 @@ def join_wrapped(lines: Column) -> Column:
 def kept_lines(docs: DataFrame, at_least: int = COMMON_IN) -> DataFrame:
     """(id, lines): every line with its place and whether it is worth reading."""
     shared = common_per_document(docs, common_lines(docs, at_least))
-    read = docs.select("id", F.transform("lines", _read).alias("read")).join(shared, "id", "left")
+    judged = F.transform(F.transform("lines", _read), _judge)
+    read = docs.select("id", judged.alias("read")).join(shared, "id", "left")
     common = F.coalesce("common", F.array().cast("array<string>"))
     kept = F.transform(
         "read",
         lambda x, i: F.struct(
             x["text"].alias("text"), x["left"].alias("left"), x["top"].alias("top"), x["right"].alias("right"),
             x["bottom"].alias("bottom"),
-            (~(x["noise"] | F.array_contains(common, x["norm"]) | _context_drop(F.col("read"), x, i))).alias("kept"),
+            (~(x["furniture"] | x["chrome"] | x["account"] | F.array_contains(common, x["norm"]) | _context_drop(F.col("read"), x, i))).alias("kept"),
         ),
     )
     return read.select("id", kept.alias("lines"))

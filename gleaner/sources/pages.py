@@ -64,34 +64,53 @@ def _escaped(url: Column) -> Column:
     return F.when(url.rlike("[^\\x21-\\x7e]|[\"<>`{}]"), F.array_join(each, "")).otherwise(url)
 
 
-def absolute(url: Column, base: Column) -> Column:
-    """`url` as seen from the page `base`; null unless http(s)."""
-    url = strip(url)
+def base_parts(base: Column) -> Column:
+    """What of a page's own address a link may be relative to."""
     root = F.regexp_extract(base, "^https?://[^/?#]*", 0)
-    scheme = F.regexp_extract(base, "^https?:", 0)
     bare = F.regexp_replace(base, "[?#].*$", "")
-    folder = F.concat(root, F.regexp_replace(F.concat(F.substring(bare, F.length(root) + 1, F.length(bare))), "[^/]*$", ""))
-    folder = F.when(folder == root, F.concat(root, F.lit("/"))).otherwise(folder)
-    joined = (
+    folder = F.when(bare.rlike("^https?://[^/]+/"), F.regexp_replace(bare, "[^/]*$", "")).otherwise(F.concat(root, F.lit("/")))
+    return F.struct(
+        root.alias("root"), F.regexp_extract(base, "^https?:", 0).alias("scheme"), bare.alias("bare"), folder.alias("folder"),
+        F.regexp_replace(base, "#.*$", "").alias("page"),
+    )
+
+
+def _joined(url: Column, base: Column) -> Column:
+    return (
         F.when(url == "", F.lit(None))
         .when(url.rlike(_SCHEME), url)
-        .when(url.startswith("//"), F.concat(scheme, url))
-        .when(url.startswith("/"), F.concat(root, url))
-        .when(url.startswith("?"), F.concat(bare, url))
-        .when(url.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), url))
-        .otherwise(F.concat(folder, url))
+        .when(url.startswith("//"), F.concat(base["scheme"], url))
+        .when(url.startswith("/"), F.concat(base["root"], url))
+        .when(url.startswith("?"), F.concat(base["bare"], url))
+        .when(url.startswith("#"), F.concat(base["page"], url))
+        .otherwise(F.concat(base["folder"], url))
     )
-    joined = F.when(joined.rlike("(?i)^https?://[^/?#]+"), joined)
-    head = F.lower(F.regexp_extract(joined, "(?i)^https?://[^/?#]*", 0))
-    rest = F.substring(joined, F.length(head) + 1, F.length(joined))
-    path = F.regexp_extract(rest, "^[^?#]*", 0)
-    after = F.substring(rest, F.length(path) + 1, F.length(rest))
-    path = F.when(path == "", F.lit("/")).otherwise(_settled(path))
-    secure = F.when(
-        head.startswith("http://") & _in_domain(F.regexp_replace(head, "^http://|:\\d+$", ""), HTTPS_HOST),
-        F.regexp_replace(head, "^http:", "https:"),
-    ).otherwise(head)
-    return F.when(joined.isNotNull(), _escaped(F.concat(secure, path, after)))
+
+
+_PARTS = "(?i)^(https?://[^/?#]+)([^?#]*)(.*)$"
+
+
+def absolute_all(urls: Column, base: Column) -> Column:
+    """Addresses as seen from a page (`base_parts`), null unless http(s); one step at a time, so that no
+    expression is repeated inside another."""
+    joined = F.transform(F.transform(urls, strip), lambda u: _joined(u, base))
+    split = F.transform(joined, lambda u: F.when(u.rlike(_PARTS), F.struct(
+        F.lower(F.regexp_extract(u, _PARTS, 1)).alias("head"), F.regexp_extract(u, _PARTS, 2).alias("path"),
+        F.regexp_extract(u, _PARTS, 3).alias("rest"))))
+
+    def whole(x: Column) -> Column:
+        host = F.regexp_replace(x["head"], "^http://|:\\d+$", "")
+        secure = x["head"].startswith("http://") & _in_domain(host, HTTPS_HOST)
+        head = F.when(secure, F.regexp_replace(x["head"], "^http:", "https:")).otherwise(x["head"])
+        path = F.when(x["path"] == "", F.lit("/")).otherwise(_settled(x["path"]))
+        return F.concat(head, path, x["rest"])
+
+    return F.transform(F.transform(split, whole), _escaped)
+
+
+def absolute(url: Column, base: Column) -> Column:
+    """`url` as seen from the page `base`; null unless http(s)."""
+    return F.get(absolute_all(F.array(url), base_parts(base)), F.lit(0))
 
 
 def page_assets(pages: DataFrame, tags: str = "img", attributes: str = "src") -> DataFrame:
@@ -101,15 +120,19 @@ def page_assets(pages: DataFrame, tags: str = "img", attributes: str = "src") ->
     """
     host = F.lower(F.regexp_extract("url", "^https?://([^/?#:]*)", 1))
     found = F.regexp_extract_all("html", F.lit(f"(?i)<(?:{tags})\\s[^>]*>"), F.lit(0))
-    read = pages.select("page_id", "url", host.alias("_host"), site_of(host).alias("_site"), _title().alias("title"), found.alias("_tags"))
+    read = pages.select(
+        "page_id", host.alias("_host"), site_of(host).alias("_site"), _title().alias("title"),
+        base_parts(F.col("url")).alias("_base"), found.alias("_tags"))
+
+    def attributes_of(tag: Column) -> Column:
+        return F.struct(_attribute(tag, attributes).alias("url"), *[
+            F.regexp_extract(_attribute(tag, n), "^\\d+", 0).try_cast("int").alias(n) for n in ("width", "height")])
 
-    def asset(tag: Column) -> Column:
-        w, h = (F.regexp_extract(_attribute(tag, n), "^\\d+", 0).try_cast("int") for n in ("width", "height"))
-        url = absolute(_attribute(tag, attributes), F.col("url"))
-        return F.when((w.isNull() | h.isNull()) | looks_like_content(w, h), url)
+    def sizeable(x: Column) -> Column:
+        return x["width"].isNull() | x["height"].isNull() | looks_like_content(x["width"], x["height"])
 
-    urls = F.filter(F.transform("_tags", asset), lambda u: u.isNotNull())
-    read = read.withColumn("_urls", urls)
+    urls = F.transform(F.filter(F.transform("_tags", attributes_of), sizeable), lambda x: x["url"])
+    read = read.withColumn("_urls", F.filter(absolute_all(urls, F.col("_base")), lambda u: u.isNotNull()))
     own = F.transform(
         F.filter("_urls", lambda u: u.rlike(DOUBAN_PICTURE)), lambda u: F.regexp_replace(u, DOUBAN_SIZES, DOUBAN_LARGE)
     )
