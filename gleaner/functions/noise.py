@@ -82,7 +82,9 @@ def is_chrome(text: Column) -> Column:
 
 
 def is_account_id(text: Column) -> Column:
-    return matches(text, ACCOUNT_ID)
+    """Looked at only where one of the signs every such mark has is there."""
+    sign = F.contains(text, F.lit("号")) | F.contains(text, F.lit(":")) | F.contains(text, F.lit("：")) | F.contains(F.lower(text), F.lit("uid"))
+    return sign & matches(text, ACCOUNT_ID)
 
 
 def is_noise(text: Column, score: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.operators.lexical import lexical_score
 from gleaner.operators.ordering import global_rank, top_k
 from gleaner.operators.vectors import absent_places, best_first, rank_route, score_vectors
+from gleaner.session import cut_lineage
 
 # Calibrated defaults, to be replaced for other models.
 RRF_K = 60
@@ -22,7 +23,7 @@ FUSED_DIGITS = 12
 
 def fuse_scores(rankings: DataFrame, k: int = RRF_K, keys: tuple[str, ...] = ("query",)) -> DataFrame:
     """Sum of 1/(k+rank) over the routes that rank an item."""
-    summed = rankings.groupBy(*keys, "id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
+    summed = rankings.filter(F.col("rank").isNotNull()).groupBy(*keys, "id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
     return summed.withColumn("score", F.round("score", FUSED_DIGITS))
 
 
@@ -43,47 +44,39 @@ def route_rankings(
     text_routes: tuple[str, ...] = ("ocr",),
     lex_floor: float = LEX_FLOOR,
     script_map: dict[str, str] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """All routes ranked in one ordered pass, and per (query, id) what decides a match.
+) -> DataFrame:
+    """(query, route, id, rank, match, lex): all routes ranked in one ordered pass, with what decides a match.
 
-    `routes` maps a route to (query vectors, item vectors). Returns (query, route, id, rank) and
-    (query, id, match, lex); every id of `docs` is an item.
+    `routes` maps a route to (query vectors, item vectors); every id of `docs` is an item. A row without a rank
+    only says how much of the query's wording an item has.
     """
     items = docs.select("id")
-    lex = lexical_score(queries, docs, script_map)
-    lex = lex.withColumn("share", F.round("share", FUSED_DIGITS))
+    lex = cut_lineage(lexical_score(queries, docs, script_map).withColumn("share", F.round("share", FUSED_DIGITS)))
     scores = [lex.filter(F.col("share") >= lex_floor).select("query", "id", F.col("share").alias("score"), F.lit("lex").alias("route"))]
-    absent, best = [], []
+    absent = []
     for route, (qv, iv) in routes.items():
+        qv = cut_lineage(qv.select("query", "vec"))
         live = iv.join(items, "id", "left_semi")
-        scored = score_vectors(qv, live)
-        scores.append(scored.withColumn("route", F.lit(route)))
-        absent.append(absent_places(scored, live, items).withColumn("route", F.lit(route)))
-        if route in text_routes:
-            best.append(scored)
+        scores.append(score_vectors(qv, live).withColumn("route", F.lit(route)))
+        absent.append(absent_places(qv, live, items).withColumn("route", F.lit(route)))
     ranked = global_rank(reduce(DataFrame.unionByName, scores), ["query", "route"], best_first())
     ranked = reduce(DataFrame.unionByName, absent, ranked)
-    evidence = lex.select("query", "id", F.lit(None).cast("double").alias("match"), F.col("share").alias("lex"))
-    for scored in best:
-        evidence = evidence.unionByName(
-            scored.select("query", "id", F.col("score").alias("match"), F.lit(None).cast("double").alias("lex"))
-        )
-    evidence = evidence.groupBy("query", "id").agg(
-        F.max("match").alias("match"), F.coalesce(F.max("lex"), F.lit(0.0)).alias("lex")
-    )
-    return ranked.select("query", "route", "id", "rank"), evidence
-
-
-def hits(rankings: DataFrame, evidence: DataFrame, k: int = RRF_K) -> DataFrame:
-    """Every ranked item of a query with its fused score and its evidence."""
-    fused = fuse_scores(rankings, k)
-    return fused.join(evidence, ["query", "id"], "left").select(
-        "query", "id", "score", "match", F.coalesce("lex", F.lit(0.0)).alias("lex")
-    )
-
-
-def search(rankings: DataFrame, evidence: DataFrame, k: int = 10) -> DataFrame:
-    return top_k(hits(rankings, evidence), ["query"], best_first(), k)
+    match = F.when(F.col("route").isin(*text_routes), F.col("score"))
+    none = F.lit(None).cast("double")
+    said = lex.select("query", F.lit("lex").alias("route"), "id", F.lit(None).cast("bigint").alias("rank"), none.alias("match"), F.col("share").alias("lex"))
+    return ranked.select("query", "route", "id", "rank", match.alias("match"), none.alias("lex")).unionByName(said)
+
+
+def hits(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
+    """Every ranked item of a query with its fused score and its evidence, in one aggregation."""
+    found = rankings.groupBy("query", "id").agg(
+        F.round(F.sum(1.0 / (k + F.col("rank"))), FUSED_DIGITS).alias("score"), F.max("match").alias("match"),
+        F.coalesce(F.max("lex"), F.lit(0.0)).alias("lex"))
+    return found.filter(F.col("score").isNotNull())
+
+
+def search(rankings: DataFrame, k: int = 10) -> DataFrame:
+    return top_k(hits(rankings), ["query"], best_first(), k)
 
 
 def mark_matches(found: DataFrame, match_threshold: float = MATCH_THRESHOLD, lex_match: float = LEX_MATCH) -> DataFrame:

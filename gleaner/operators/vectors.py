@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.ordering import global_rank, top_k
-from gleaner.session import take_bounded
+from gleaner.session import broadcast_if_small, take_bounded
 
 MAX_QUERIES = 20_000
 SCORE_DIGITS = 9  # similarities are compared at this precision, so a rank never depends on partitioning
@@ -45,17 +47,35 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def query_matrix(queries: DataFrame) -> tuple[list, np.ndarray]:
-    """The query side as one matrix: refused beyond MAX_QUERIES, so what every task gets stays bounded."""
+    """The query side of one pass as a matrix, at most MAX_QUERIES rows."""
     rows = take_bounded(queries.select("query", "vec").orderBy("query"), MAX_QUERIES, "query vectors")
     return [r["query"] for r in rows], np.array([r["vec"] for r in rows], dtype=np.float64)
 
 
-def score_vectors(queries: DataFrame, vectors: DataFrame, depth: int | None = None, model: str | None = None) -> DataFrame:
+def query_blocks(queries: DataFrame, size: int) -> list[DataFrame]:
+    """The queries in parts of at most about `size`; every query is in one of them."""
+    n = queries.count()
+    if n <= size:
+        return [queries]
+    parts = -(-3 * n // (2 * size))
+    return [queries.filter(F.pmod(F.xxhash64("query"), F.lit(parts)) == p) for p in range(parts)]
+
+
+def score_vectors(
+    queries: DataFrame, vectors: DataFrame, depth: int | None = None, model: str | None = None, floor: float = np.inf
+) -> DataFrame:
     """(query, id, score) of every vector against every query, without a shuffle.
 
-    With `depth`, each task keeps only its best `depth` per query: enough for an exact global top `depth`.
-    A route whose vectors do not fit the query is empty.
+    With `depth`, each task keeps only its best `depth` per query, enough for an exact global top `depth`, and
+    whatever reaches `floor`. A route whose vectors do not fit the query is empty. More queries than one pass
+    may hold take several.
     """
+    blocks = query_blocks(queries, MAX_QUERIES)
+    scored = [_score_block(block, vectors, depth, model, floor) for block in blocks]
+    return reduce(DataFrame.unionByName, scored)
+
+
+def _score_block(queries: DataFrame, vectors: DataFrame, depth: int | None, model: str | None, floor: float) -> DataFrame:
     names, q = query_matrix(queries)
     spark = vectors.sparkSession
     query_type = queries.schema["query"].dataType.simpleString()
@@ -68,6 +88,12 @@ def score_vectors(queries: DataFrame, vectors: DataFrame, depth: int | None = No
     cast_names = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[query_type]
     names_arrow = names_arrow.cast(cast_names)
 
+    def send(rows: pa.Table) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [names_arrow.take(rows["q"].combine_chunks()), rows["id"].combine_chunks(), rows["score"].combine_chunks()],
+            names=["query", "id", "score"],
+        )
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mat = shared.value
         step = max(1, _CELLS // len(mat))
@@ -88,32 +114,31 @@ def score_vectors(queries: DataFrame, vectors: DataFrame, depth: int | None = No
                     )
                     continue
                 # ties may reach past position `depth`: keep everything at or above the depth-th score
-                floor = np.partition(sims, n - depth, axis=0)[n - depth] if n > depth else np.full(m, -np.inf)
-                row, col = np.nonzero(sims >= floor)
+                lowest = np.partition(sims, n - depth, axis=0)[n - depth] if n > depth else np.full(m, -np.inf)
+                row, col = np.nonzero((sims >= lowest) | (sims >= floor))
                 found = pa.table(
                     {"q": pa.array(col), "id": part.column("id").take(pa.array(row)), "score": pa.array(sims[row, col])}
                 )
                 best = found if best is None else pa.concat_tables([best, found])
                 if best.num_rows > 4 * depth * m:
-                    best = _local_best(best, depth)
+                    best = _local_best(best, depth, floor)
+                    if best.num_rows > 2 * depth * m:  # mostly rows that reach the floor: hand them on
+                        yield send(best.filter(pa.compute.greater_equal(best["score"], floor)))
+                        best = best.filter(pa.compute.less(best["score"], floor))
         if best is not None:
-            best = _local_best(best, depth)
-            yield pa.RecordBatch.from_arrays(
-                [names_arrow.take(best["q"].combine_chunks()), best["id"].combine_chunks(), best["score"].combine_chunks()],
-                names=["query", "id", "score"],
-            )
+            yield send(_local_best(best, depth, floor))
 
     fit = usable(vectors, q.shape[1], model).select("id", "vec")
     return fit.mapInArrow(score, schema)
 
 
-def _local_best(rows: pa.Table, depth: int) -> pa.Table:
+def _local_best(rows: pa.Table, depth: int, floor: float) -> pa.Table:
     rows = rows.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
     q = rows["q"].to_numpy()
     first = np.concatenate([[0], np.nonzero(np.diff(q))[0] + 1])
     sizes = np.diff(np.append(first, len(q)))
     place = np.arange(len(q)) - np.repeat(first, sizes)
-    return rows.filter(pa.array(place < depth))
+    return rows.filter(pa.array((place < depth) | (rows["score"].to_numpy() >= floor)))
 
 
 def best_first() -> list[Column]:
@@ -145,7 +170,9 @@ def rank_route(
         ranked = global_rank(scored, ["query"], [F.asc("last"), *best_first()]).drop("last")
     else:
         ranked = global_rank(scored, ["query"], best_first())
-    return ranked if items is None else ranked.unionByName(absent_places(scored, vectors, items))
+    if items is None:
+        return ranked
+    return ranked.unionByName(absent_places(queries, vectors, items, model))
 
 
 def _flag_empty(scored: DataFrame, empty: DataFrame) -> DataFrame:
@@ -153,15 +180,21 @@ def _flag_empty(scored: DataFrame, empty: DataFrame) -> DataFrame:
     return scored.join(marks, "id", "left").withColumn("last", F.coalesce("_empty", F.lit(False))).drop("_empty")
 
 
-def absent_places(scored: DataFrame, vectors: DataFrame, items: DataFrame) -> DataFrame:
+def absent_places(queries: DataFrame, vectors: DataFrame, items: DataFrame, model: str | None = None) -> DataFrame:
     """(query, id, score, rank) of items with no vector on the route: after all that have one, by id.
 
-    Their order is the same for every query, so they are numbered once and each query's list repeats it.
+    Their order is the same for every query, so they are numbered once and each query's list repeats it. A route
+    none of whose vectors fits the queries ranks nothing.
     """
-    answered = scored.groupBy("query").agg(F.count(F.lit(1)).alias("_n"))  # at most MAX_QUERIES rows
-    without = items.select("id").join(vectors.select("id"), "id", "left_anti")
-    numbered = global_rank(without, [], [F.asc("id")], "_place")
-    return numbered.crossJoin(F.broadcast(answered)).select(
+    dim = queries.select(F.size("vec").alias("d")).limit(1)
+    ok = F.size("vec") == F.col("d")
+    if model is not None and "model" in vectors.columns:
+        ok = ok & (base_model(F.col("model")) == model.split("@", 1)[0])
+    fit = vectors.crossJoin(F.broadcast(dim)).filter(ok).select("id")  # one row
+    n = fit.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
+    answered = queries.select("query").crossJoin(F.broadcast(n))  # one row
+    numbered = global_rank(items.select("id").join(fit, "id", "left_anti"), [], [F.asc("id")], "_place")
+    return numbered.crossJoin(broadcast_if_small(answered, MAX_QUERIES)).select(
         "query", "id", F.lit(None).cast("double").alias("score"), (F.col("_n") + F.col("_place")).alias("rank")
     )
 

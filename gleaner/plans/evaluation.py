@@ -89,8 +89,8 @@ per_query AS (
   LEFT JOIN qrels r ON r.query = s.query AND r.relevant = s.id GROUP BY l.query)
 SELECT count(*)::BIGINT AS n, round(avg(found::INT), 6) AS match_recall, round(avg(filler), 6) AS filler_per_query FROM per_query""")
 def match_quality(t: Tables) -> DataFrame:
-    rankings, evidence = fusion.route_rankings(t.questions(), t.docs(), _routes(t))
-    sure = fusion.mark_matches(fusion.hits(rankings, evidence)).filter("is_match")
+    rankings = fusion.route_rankings(t.questions(), t.docs(), _routes(t))
+    sure = fusion.mark_matches(fusion.hits(rankings)).filter("is_match")
     return metrics.match_quality(sure, _quoted(t)).select("n", *six("match_recall", "filler_per_query"))
 
 
@@ -192,8 +192,8 @@ firsts AS (SELECT m.method, q.query, min(r.rank) AS first
 
 
 def _methods(t: Tables) -> DataFrame:
-    rankings, _ = fusion.route_rankings(t.questions(), t.docs(), _routes(t))
-    single = rankings.select(F.col("route").alias("method"), "query", "id", "rank")
+    rankings = fusion.route_rankings(t.questions(), t.docs(), _routes(t))
+    single = rankings.filter("rank IS NOT NULL").select(F.col("route").alias("method"), "query", "id", "rank")
     return single.unionByName(fusion.rrf_fuse(rankings).select(F.lit("hybrid").alias("method"), "query", "id", "rank"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import fusion, lexical, similarity, vectors
+from gleaner.operators import exact, fusion, lexical, similarity, vectors
 from gleaner.operators.ordering import top_k
 from gleaner.plans import sql
 from gleaner.plans.registry import Tables, big, query, six
@@ -89,7 +89,7 @@ def _asked(t: Tables) -> DataFrame:
 WITH {sql.SEARCH}
 SELECT query, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM fused""")
 def rrf_fuse(t: Tables) -> DataFrame:
-    rankings, _ = fusion.route_rankings(_asked(t), t.docs(), _routes(t))
+    rankings = fusion.route_rankings(_asked(t), t.docs(), _routes(t))
     return fusion.rrf_fuse(rankings).select("query", "id", *six("score"), "rank")
 
 
@@ -98,8 +98,8 @@ WITH {sql.SEARCH}
 SELECT query, id, round(score, 6) AS score, round(match, 6) AS match, round(lex, 6) AS lex, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM hits) WHERE rank <= 10""")
 def search(t: Tables) -> DataFrame:
-    rankings, evidence = fusion.route_rankings(_asked(t), t.docs(), _routes(t))
-    return fusion.search(rankings, evidence, 10).select("query", "id", *six("score", "match", "lex"), "rank")
+    """The ten best of each question; only the routes' first places are looked at, with the same result."""
+    return exact.search_top(_asked(t), t.docs(), _routes(t), 10).select("query", "id", *six("score", "match", "lex"), "rank")
 
 
 @query("o38_split_search", f"""
@@ -110,8 +110,7 @@ SELECT query, id, round(score, 6) AS score, round(match, 6) AS match, round(lex,
        CASE WHEN sure THEN 'matches' ELSE 'maybe' END AS section
 FROM sectioned WHERE sure OR rank <= 12""")
 def split_search(t: Tables) -> DataFrame:
-    rankings, evidence = fusion.route_rankings(_asked(t), t.docs(), _routes(t))
-    found = fusion.split_search(fusion.hits(rankings, evidence))
+    found = exact.split_top(_asked(t), t.docs(), _routes(t))
     return found.select("query", "id", *six("score", "match", "lex"), "rank", "section")
 
 
@@ -125,8 +124,7 @@ FROM sectioned WHERE sure OR rank <= 12""")
 def search_visible(t: Tables) -> DataFrame:
     """Rejected and removed documents keep the ranks they took, then drop out."""
     hidden = t.labels.filter("quality = 0 OR toxic = 1").select(F.col("doc_id").alias("id"))
-    rankings, evidence = fusion.route_rankings(_asked(t), t.docs(), _routes(t))
-    found = fusion.split_search(fusion.hits(rankings, evidence), hidden=hidden)
+    found = exact.split_top(_asked(t), t.docs(), _routes(t), hidden=hidden)
     return found.select("query", "id", *six("score"), "rank", "section")
 
 

@@ -1,10 +1,11 @@
 """Wording, fusion and the split, on cases small enough to work out by hand."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import fusion, lexical
+from gleaner.operators import exact, fusion, lexical
 
 DOCS = {"a": "上班的时候想下班", "b": "下班的时候想辞职", "c": "我的猫", "d": "我的狗"}
 
@@ -55,7 +56,7 @@ def _library(spark):
     vec = spark.createDataFrame([("cat", [1.0, 0.0]), ("dog", [0.0, 1.0])], "id string, vec array<double>")
     queries = spark.createDataFrame([(1, "猫")], "query int, text string")
     qv = spark.createDataFrame([(1, [1.0, 0.0])], "query int, vec array<double>")
-    return fusion.hits(*fusion.route_rankings(queries, docs, {"ocr": (qv, vec)}))
+    return fusion.hits(fusion.route_rankings(queries, docs, {"ocr": (qv, vec)}))
 
 
 def test_split(spark):
@@ -82,3 +83,31 @@ def test_patterns(spark):
     alike = [("{X}一时爽，一直{X}一直爽", "X 一时爽 一直 X 一直爽！"), ("{X} is the new {Y}.", "[X] Is The New 【Y】")]
     for r in spark.createDataFrame(alike, "a string, b string").select(T.normalize_pattern(F.col("a")).alias("a"), T.normalize_pattern(F.col("b")).alias("b")).collect():
         assert r.a == r.b and "{S}" in r.a
+
+
+@pytest.mark.parametrize("seed,n,vectors", [(0, 500, 500), (1, 500, 90)])
+def test_looking_at_the_first_places_only_gives_the_same_search(spark, seed, n, vectors):
+    """Many equal vectors and tied scores, items without a vector, hidden and matching items."""
+    rng = np.random.default_rng(seed)
+    words = np.array("red green blue cold warm tall small odd even".split())
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 5))) for i in range(n)], "id bigint, text string")
+
+    def table(count, name):
+        mat = rng.normal(size=(count, 4)).round(1)
+        mat[rng.random(count) < 0.3] = mat[0]
+        mat = mat / np.linalg.norm(mat, axis=1, keepdims=True)
+        ids = rng.permutation(n)[:count] if name == "id" else np.arange(count)
+        return spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, mat)], f"{name} bigint, vec array<double>")
+
+    queries = spark.createDataFrame([(i, " ".join(rng.choice(words, 3))) for i in range(7)], "query bigint, text string")
+    routes = {"ocr": (table(6, "query"), table(vectors, "id")), "clip": (table(5, "query"), table(vectors, "id"))}
+    routes = {k: (q.cache(), v.cache()) for k, (q, v) in routes.items()}
+    hidden = spark.createDataFrame([(int(i),) for i in rng.permutation(n)[: n // 3]], "id bigint")
+    rankings = fusion.route_rankings(queries, docs, routes)
+    cols = ["query", "id", "rank", "section"]
+    rows = lambda df, cs: sorted((tuple(r[c] for c in cs), round(r["score"], 9)) for r in df.collect())
+    assert rows(exact.search_top(queries, docs, routes, 10, small=0), cols[:3]) == rows(fusion.search(rankings, 10), cols[:3])
+    threshold = (0.57, 0.97)[seed]
+    got = exact.split_top(queries, docs, routes, 5, hidden, match_threshold=threshold, small=0)
+    want = fusion.split_search(fusion.hits(rankings), 5, hidden, threshold)
+    assert rows(got, cols) == rows(want, cols)
