@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.session import broadcast_if_small
 
 # Words too ordinary to identify anyone, and where a configured value is cut.
-GENERIC = ("memeseeks", "private", "memes", "data", "path", "work", "home", "users", "code", "desktop")
+GENERIC = ("private", "memes", "data", "path", "work", "home", "users", "code", "desktop")
 SEPARATORS = "[\\\\/:\\-_.\\s\\p{Z}]+"
 WORD = "[0-9A-Za-z]+"
 _EDGE = "[^0-9a-z]"

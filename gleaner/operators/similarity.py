@@ -19,9 +19,11 @@ from gleaner.operators.ordering import top_k
 from gleaner.operators.vectors import SCORE_DIGITS, matrix
 from gleaner.session import cut_lineage
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384
+STRIP_ROWS = 1024  # rows multiplied at a time inside a task
 _SLACK = 1e-5  # angles are compared with this much room, so rounding never loses a partner
-PairFn = Callable[[pa.Table, pa.Table, np.ndarray, bool], pa.Table]
+# left rows, right rows, their products, and where the left rows stand in the right ones if these are the same block
+PairFn = Callable[[pa.Table, pa.Table, np.ndarray, int | None], pa.Table]
 
 
 def _unit(mat: np.ndarray) -> np.ndarray:
@@ -61,9 +63,9 @@ def block_pairs(
     block_rows: int = BLOCK_ROWS,
     max_pivots: int = 128,
 ) -> DataFrame:
-    """Run `fn(left, right, products, same_block)` once for every two blocks that may hold a pair.
+    """Run `fn(left, right, products, offset)` over the strips of every two blocks that may hold a pair.
 
-    Each unordered pair of rows meets in exactly one call (twice in a `same_block` call, once per direction).
+    Each unordered pair of rows meets once, in one direction; inside a block (`offset` given) it meets in both.
     With `tau`, pairs whose product cannot reach it may be left out; without, every pair meets.
     """
     spark = vectors.sparkSession
@@ -149,16 +151,21 @@ def block_pairs(
     mixed = vectors.select(*payload, "vec", F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(1 << 40)).alias("_mix"))
     blocks = mixed.mapInArrow(assign, f"cell int, lb int, rb int, is_left boolean, {fields}, vec {vec_type}")
 
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
+    empty = pa.table({f.split(" ")[0]: pa.array([], kinds[f.split(" ")[1]]) for f in schema.split(", ")})
+
     def multiply(table: pa.Table) -> pa.Table:
         side = table["is_left"]
         left = table.filter(side)
         same = table["lb"][0].as_py() == table["rb"][0].as_py()
         right = left if same else table.filter(pa.compute.invert(side))
-        products = (
-            np.round(matrix(left["vec"]) @ matrix(right["vec"]).T, SCORE_DIGITS) + 0.0
-            if left.num_rows and right.num_rows else np.zeros((left.num_rows, right.num_rows))
-        )
-        return fn(left, right, products, same)
+        other = matrix(right["vec"])
+        out = []
+        for start in range(0, left.num_rows if right.num_rows else 0, STRIP_ROWS):
+            strip = left.slice(start, STRIP_ROWS)
+            products = np.round(matrix(strip["vec"]) @ other.T, SCORE_DIGITS) + 0.0
+            out.append(fn(strip, right, products, start if same else None))
+        return pa.concat_tables(out) if out else empty
 
     return blocks.groupBy("cell", "lb", "rb").applyInArrow(multiply, schema)
 
@@ -186,8 +193,8 @@ def similar_groups(groups: DataFrame, tau: float, depth: int, block_rows: int =
         place = np.arange(len(code)) - np.repeat(first, np.diff(np.append(first, len(code))))
         return found.filter(pa.array(place < depth))
 
-    def fn(a: pa.Table, b: pa.Table, s: np.ndarray, same: bool) -> pa.Table:
-        return best(a, b, s) if same else pa.concat_tables([best(a, b, s), best(b, a, s.T)])
+    def fn(a: pa.Table, b: pa.Table, s: np.ndarray, offset: int | None) -> pa.Table:
+        return best(a, b, s) if offset is not None else pa.concat_tables([best(a, b, s), best(b, a, s.T)])
 
     found = block_pairs(groups.select("gid", "vec"), fn, schema, tau=tau, block_rows=block_rows)
     return top_k(found, ["gid"], [F.desc("score"), F.asc("other")], depth).drop("rank")
@@ -250,8 +257,8 @@ def pair_histogram(items: DataFrame, thresholds: list[float], side: str | None =
     side_type = items.schema[side].dataType.simpleString() if side else ""
     schema = (f"{side} {side_type}, " if side else "") + "bin int, same boolean, pairs bigint"
 
-    def fn(a: pa.Table, b: pa.Table, s: np.ndarray, same_block: bool) -> pa.Table:
-        keep = np.triu(np.ones(s.shape, dtype=bool), 1) if same_block else np.ones(s.shape, dtype=bool)
+    def fn(a: pa.Table, b: pa.Table, s: np.ndarray, offset: int | None) -> pa.Table:
+        keep = np.ones(s.shape, dtype=bool) if offset is None else np.triu(np.ones(s.shape, dtype=bool), offset + 1)
         codes = pa.chunked_array([*a["grp"].chunks, *b["grp"].chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
         same = codes[: a.num_rows][:, None] == codes[a.num_rows:][None, :]
         bins = np.searchsorted(edges, s, side="right")

@@ -205,7 +205,7 @@ def display_texts(t: Tables) -> DataFrame:
 @query("o22_scan_leaks", """
 WITH parts AS (SELECT DISTINCT part FROM (SELECT unnest(regexp_split_to_array(url, '[\\\\/:\\-_.\\s]+')) AS part FROM pages)
   WHERE (length(part) >= 6 OR (length(part) >= 4 AND regexp_matches(part, '[0-9]')))
-    AND lower(part) NOT IN ('memeseeks', 'private', 'memes', 'data', 'path', 'work', 'home', 'users', 'code', 'desktop')),
+    AND lower(part) NOT IN ('private', 'memes', 'data', 'path', 'work', 'home', 'users', 'code', 'desktop')),
 words AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[0-9a-z]+')) AS word FROM documents)
 SELECT id, array_to_string(list_sort(list(DISTINCT part)), ',') AS parts FROM words JOIN parts ON word = lower(part) GROUP BY id""")
 def scan_leaks(t: Tables) -> DataFrame:

@@ -74,7 +74,7 @@ def _quoted(t: Tables) -> DataFrame:
     """Documents holding a question's text verbatim: found by wording first, so no text meets every question."""
     from gleaner.operators.lexical import lexical_score
 
-    full = lexical_score(t.questions(), t.docs()).filter(F.col("share") > 0.999999).select("query", "id")
+    full = lexical_score(t.questions(), t.docs()).filter(F.col("share") >= 0.5).select("query", "id")
     texts = full.join(t.questions().withColumnRenamed("text", "_q"), "query").join(t.docs(), "id")
     return texts.filter(F.contains("text", F.col("_q"))).select("query", F.col("id").alias("relevant"))
 
@@ -255,13 +255,12 @@ SELECT count(*) FILTER (label)::BIGINT AS n_pos, count(*) FILTER (NOT label)::BI
         / (count(*) FILTER (label) * count(*) FILTER (NOT label)), 6) AS auc FROM ranked""")
 def pair_similarity(t: Tables) -> DataFrame:
     """Vectors in twos as templates: both of one template against one of it and one of the next."""
-    half = F.floor(F.col("id") / 2)
-    first = t.vectors().filter("id % 2 = 0").select(F.col("id").alias("left"), half.alias("tpl"))
-    n = t.vectors().agg(F.floor(F.count(F.lit(1)) / 2).alias("n"))
-    second = t.vectors().filter("id % 2 = 1").select(F.col("id").alias("right"), half.alias("tpl"))
-    aligned = first.join(second, "tpl").select("left", "right", F.lit(True).alias("label"))
-    shifted = first.crossJoin(F.broadcast(n)).withColumn("tpl", (F.col("tpl") + 1) % F.col("n")).join(second, "tpl").select(
-        "left", "right", F.lit(False).alias("label"))
+    by_two = t.vectors().groupBy(F.floor(F.col("id") / 2).alias("tpl")).agg(
+        F.min("id").alias("left"), F.max("id").alias("right"), F.count(F.lit(1)).alias("n")).filter("n = 2")
+    n = by_two.agg(F.count(F.lit(1)).alias("total"))
+    aligned = by_two.select("left", "right", F.lit(True).alias("label"))
+    after = by_two.crossJoin(F.broadcast(n)).select("left", ((F.col("tpl") + 1) % F.col("total")).alias("tpl"))  # one row
+    shifted = after.join(by_two.select("tpl", "right"), "tpl").select("left", "right", F.lit(False).alias("label"))
     scored = vectors.pair_scores(aligned.unionByName(shifted), t.vectors(), "left", "right")
     return metrics.auc(scored).select("n_pos", "n_neg", *six("auc"))
 

@@ -63,10 +63,11 @@ def test_vectors_of_another_size_or_model_are_skipped(spark):
     assert [r.id for r in V.rank_route(query, three, model="m@fp32").collect()] == ["a"]
 
 
-@pytest.mark.parametrize("block,pivots", [(4096, 128), (16, 128), (37, 3)])
+@pytest.mark.parametrize("block,pivots", [(4096, 128), (16, 128), (67, 3)])
 def test_similar_equals_brute_force(spark, clustered, block, pivots, monkeypatch):
     k, tau = 7, 0.8
     real = S.block_pairs
+    monkeypatch.setattr(S, "STRIP_ROWS", 29)
     monkeypatch.setattr(S, "block_pairs", lambda *a, **kw: real(*a, **{**kw, "max_pivots": pivots}))
     got = {}
     for r in S.similar(_frame(spark, clustered), None, k=k, tau_text=tau, block_rows=block).collect():
@@ -97,7 +98,8 @@ def test_similar_takes_the_better_route_and_drops_hidden(spark, clustered):
 
 
 @pytest.mark.parametrize("block", [4096, 50])
-def test_pairs_are_counted_once(spark, clustered, block):
+def test_pairs_are_counted_once(spark, clustered, block, monkeypatch):
+    monkeypatch.setattr(S, "STRIP_ROWS", 23)
     grp = np.arange(len(clustered)) % 7
     items = _frame(spark, clustered).withColumn("grp", F.col("id") % 7).withColumn("side", (F.col("grp") % 2).cast("int"))
     edges = [0.2, 0.5, 0.9]
