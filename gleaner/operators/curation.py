@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import dense_length, squeeze
+from gleaner.operators.joins import lookup_join
 from gleaner.operators.ordering import global_rank, top_k
 from gleaner.sources.logs import latest
 from gleaner.sources.pages import clean_meta
@@ -241,9 +242,10 @@ def import_status(export: DataFrame, library: DataFrame) -> DataFrame:
     """
     usable = F.coalesce(F.col("ok") & (F.col("size") <= MAX_ITEM_BYTES), F.lit(False))
     read = export.select("cid", "pos", "id", usable.alias("_ok"))
-    first = read.filter("_ok").groupBy("id").agg(F.min(F.struct("cid", "pos")).alias("_first"))
+    first = read.groupBy("id").agg(
+        F.min(F.when(F.col("_ok"), F.struct("cid", "pos"))).alias("_first"), F.count(F.lit(1)).alias("_copies"))
     have = library.select("id").distinct().withColumn("_have", F.lit(True))
-    joined = read.join(first, "id", "left").join(have, "id", "left")
+    joined = lookup_join(read, first.join(have, "id", "left"), "id", "_copies", [F.col("cid"), F.col("pos")])
     again = F.col("_have").isNotNull() | (F.struct("cid", "pos") != F.col("_first"))
     status = F.when(~F.col("_ok"), "skipped").when(again, "duplicate").otherwise("added")
     return joined.select("cid", "pos", "id", status.alias("status"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.session import cut_lineage
+from gleaner.session import broadcast_if_small, cut_lineage
 
 QUERY, ITEM = "query", "id"
+MAX_WANTED = 500_000  # (query, gram) rows small enough to go to every task
 
 
 def document_grams(docs: DataFrame, script_map: dict[str, str] | None = None) -> DataFrame:
@@ -66,13 +67,13 @@ def score_postings(queries: DataFrame, postings: DataFrame, size: DataFrame, scr
 
 def score_hits(wanted: DataFrame, hits: DataFrame, weights: DataFrame, size: DataFrame) -> DataFrame:
     """Shares of the documents in `hits`, the postings of wanted grams, by the given weights."""
-    weighed = wanted.join(weights.drop("unseen"), "gram", "left").crossJoin(F.broadcast(size)).select(
+    weighed = cut_lineage(wanted.join(weights.drop("unseen"), "gram", "left").crossJoin(F.broadcast(size)).select(
         QUERY, "gram", "idf", F.coalesce("idf", F.ln((F.col("n") + 1) / F.lit(0.5))).alias("ask")
-    )
+    ))
     totals = weighed.groupBy(QUERY).agg(F.sum("ask").alias("total"))
-    found = weighed.filter(F.col("idf").isNotNull()).join(hits, "gram").groupBy(QUERY, ITEM).agg(
-        F.sum("idf").alias("found")
-    )
+    # broadcast when counted small: postings are then summed where they are, document by document
+    known = broadcast_if_small(weighed.filter(F.col("idf").isNotNull()), MAX_WANTED)
+    found = hits.join(known, "gram").groupBy(QUERY, ITEM).agg(F.sum("idf").alias("found"))
     return found.join(totals, QUERY).select(QUERY, ITEM, (F.col("found") / F.col("total")).alias("share"))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -61,6 +63,7 @@ class Tables:
 def query(name: str, oracle: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Query]:
     def register(fn: Callable[[Tables], DataFrame]) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return fn(Tables(spark, folder))
 
         run.__name__, run.__doc__ = name, fn.__doc__

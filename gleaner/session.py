@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,23 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, wherever they run and whatever their path is."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="gleaner-package-")) / "gleaner.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    sc.addPyFile(str(target))  # Spark sends it to every executor
+    _shipped.add(sc.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a temporary one only where none is configured."""
     sc = spark.sparkContext

@@ -5,4 +5,4 @@ from gleaner.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8)
+    return local_session(8, 4)
