@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import exactdedup, licences, linededup, simhash
+from gleaner.llm import embeddings, exactdedup, licences, linededup, simhash
 from gleaner.llm.common import query, table
 from gleaner.session import scratch
 
@@ -17,7 +17,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
-@query("op4_simhash", None)
+@query("op3_embedding_near_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    found = embeddings.near_vectors(table(spark, folder, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+@query("op4_simhash")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_groups(table(spark, folder, "documents"))
