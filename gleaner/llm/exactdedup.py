@@ -14,7 +14,11 @@ from pyspark.sql.types import StructType
 from gleaner.session import cut_lineage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# state is on disk, and a task lets go of it as soon as it is committed: a run drains what there is and ends
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -48,13 +52,15 @@ def update_state(
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/keepers/batch={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         started = state.writeStream.outputMode("update").option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
         started.foreachBatch(save).start().awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     found = spark.read.parquet(f"{root}/keepers")
     if found.select("batch").distinct().limit(2).count() > 1:
         last = F.max_by(F.struct("keep_id", "locator", "group_size"), "batch").alias("k")
