@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import embeddings, exactdedup, licences, linededup, simhash
-from gleaner.llm.common import query, table
+from gleaner.llm import embeddings, exactdedup, langid, licences, linededup, packing, pii, sentencepiece_bpe, simhash, toxicity
+from gleaner.llm.common import query, share_of, table
 from gleaner.session import scratch
 
 
@@ -17,6 +17,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+@query("op2_pii_pseudonyms")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Every whole text with pseudonyms in place of personal data, and how many of which kinds were put."""
+    found = pii.redact(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "text", F.size("pii").cast("bigint").alias("n_pii"), F.array_join(F.array_sort(F.array_distinct("pii.kind")), ",").alias("kinds"))
+
+
 @query("op3_embedding_near_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Links and component of every vector."""
@@ -31,6 +38,34 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """A score for every document, learned from the four folds that are not held out."""
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    model = toxicity.train(docs, labels.filter(share_of("doc_id", 5) != 0))
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id", (share_of("doc_id", 5) == 0).alias("held_out"), F.col("toxic_score").alias("score"),
+        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query("op6_packing", packing.pack_sql())
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Bucket, batch and slot of every piece of every document."""
+    found = packing.pack(packing.sequences(table(spark, folder, "documents")))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op7_language")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from the three folds that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    known = langid.prototypes(docs.filter(share_of("doc_id", 4) != 2))
+    found = langid.predict(docs.select("doc_id", "text"), known)
+    return found.select("doc_id", (share_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 @query("op8_line_dedup", linededup.LINE_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of every document before and after those that three documents hold are dropped."""
@@ -46,3 +81,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     """The keeper and the size of every document's group of equal texts."""
     found = exactdedup.dedup(spark, f"{folder}/documents.parquet", scratch(spark, "exact-dedup"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_sentencepiece")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """How every document is cut with merge-dropout, and whether its ids decode to its text."""
+    return sentencepiece_bpe.encode_digest(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
