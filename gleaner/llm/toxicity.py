@@ -262,18 +262,14 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
 
 
 def _spread(words: list[str], n: int, taken: list[str]) -> list[str]:
-    """The first `n` words that are not too much like an earlier one."""
-    kept: list[str] = []
-    for w in words:
-        if len(kept) == n:
-            break
-        if not 3 <= len(w) <= 16:
-            continue
-        before = taken + kept
-        if before and with_landmarks([w]).kernel(before).max() > 0.6:
-            continue
-        kept.append(w)
-    return kept
+    """The first `n` of at most 800 words that are not too much like an earlier one."""
+    words = [w for w in dict.fromkeys(words) if 3 <= len(w) <= 16][:800]
+    like = with_landmarks(taken + words).kernel(words)
+    kept: list[int] = []
+    for k in range(len(words)):
+        if len(kept) < n and like[k, list(range(len(taken))) + [len(taken) + j for j in kept]].max(initial=0) <= 0.6:
+            kept.append(k)
+    return [words[k] for k in kept]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, label: str, rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict[int, int]]:
