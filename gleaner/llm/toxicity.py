@@ -28,7 +28,6 @@ PIECE = 36  # longer runs of letters are read in overlapping pieces of this leng
 ROUNDS = 4
 CACHED = 400_000  # tokens whose scores a worker remembers
 _LETTERS = 64  # the edge of a word is 0, then come a-z, and other letters share what is left
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s+){2,}[^\W\d_](?!\S)")
 _RUN = re.compile(r"[^\W\d_]+")
 _PLACES: dict[int, tuple[np.ndarray, np.ndarray, float]] = {}
@@ -289,10 +288,15 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     return fit([t for t, _ in got], [y for _, y in got], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
-def worst_sentence(text: str, model: Model) -> str:
-    found = [s.strip() for s in _SENTENCE.findall(text)] or [text]
-    value = [max(model.token_distances(tokens_of(s)).values(), default=model.bias) for s in found]
-    return found[int(np.argmax(value))]
+def worst_sentence(text: str, token: str) -> str:
+    """The sentence of a text in which the token that decides its score stands first."""
+    lower = text.lower()
+    at = lower.find(token)
+    if at < 0:  # written with spaces between its letters
+        at = next((m.start() for m in _SPACED.finditer(lower) if "".join(m.group().split()) == token), 0)
+    start = max(text.rfind(c, 0, at) for c in ".!?\n") + 1
+    ends = [k for k in (text.find(c, at + len(token)) for c in ".!?\n") if k >= 0]
+    return text[start:min(ends, default=len(text)) + 1].strip()
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -317,7 +321,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 known.update(model.token_distances({t for ts in tokens for t in ts if t not in known}))
                 distance = np.array([max(map(known.__getitem__, ts), default=model.bias) for ts in tokens])
                 p = model.probability(distance)
-                worst = [worst_sentence(t, model) if x >= 0.5 else None for t, x in zip(texts, p, strict=True)]
+                worst = [
+                    worst_sentence(t, max(ts, key=known.__getitem__, default="")) if x >= 0.5 else None
+                    for t, ts, x in zip(texts, tokens, p, strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(p), pa.array(worst, pa.string())],
                     schema=batch.schema.append(pa.field("toxic_score", pa.float64())).append(pa.field("worst_sentence", pa.string())),
