@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -31,19 +31,24 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def read(self, name: str, schema: str) -> DataFrame:
+    def read(self, name: str, schema: str, but: str | None = None) -> DataFrame:
+        """All rows of a table, or those of all runs but one. Only a missing folder counts as an empty table."""
+        empty = self.spark.createDataFrame([], schema)
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.root}/{name}/*")
-        except AnalysisException:  # nothing written yet
-            return self.spark.createDataFrame([], schema)
+            found = self.spark.read.schema(schema).parquet(f"{self.root}/{name}/run-*")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return empty
+        if but is None:
+            return found
+        folders = {f.rpartition("/")[0] for f in found.inputFiles()}
+        others = sorted(f for f in folders if unquote(f.rpartition("/")[2]) != f"run-{but}")
+        return self.spark.read.schema(schema).parquet(*map(unquote, others)) if others else empty
 
     def append(self, name: str, df: DataFrame, run: str) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/run-{run}")
 
-    def replace(self, name: str, df: DataFrame) -> "Store":
-        """A new version of a table in a folder of its own: readers of the old one are not disturbed."""
-        df.write.mode("errorifexists").parquet(f"{self.root}/{name}-{uuid.uuid4().hex}/run-0")
-        return self
 
 
 def stage_schema(items: DataFrame, stage: Stage) -> str:
@@ -52,9 +57,12 @@ def stage_schema(items: DataFrame, stage: Stage) -> str:
 
 
 def run_stage(items: DataFrame, stage: Stage, store: Store, run: str, retry_failed: bool = False) -> DataFrame:
-    """Work on what is pending, append it, and return the stage's table."""
+    """Work on what is pending, append it, and return the stage's table.
+
+    What this run itself wrote before is not taken as done but made again, so a repeated run ends as it did at first.
+    """
     schema = stage_schema(items, stage)
-    done = store.read(stage.name, schema)
+    done = store.read(stage.name, schema, but=run)
     if retry_failed:
         done = E.drop_failures(done)
     todo = E.pending(items, [done], stage.model)

@@ -267,8 +267,8 @@ def pair_similarity(t: Tables) -> DataFrame:
 
 @query("o87_normalize_pattern", f"""
 WITH items AS (SELECT doc_id AS id, source AS grp, array_to_string(list_transform(
-    regexp_split_to_array(split_part(text, chr(10), 1), '[\\{{\\[【［]\\s*[XYZxyz]\\s*[\\}}\\]】］]'),
-    lambda p: {sql.norm('p')}), '{{S}}') AS key FROM documents),
+    regexp_split_to_array(line, '[\\{{\\[【［]\\s*[XYZxyz]\\s*[\\}}\\]】］]'),
+    lambda p: {sql.norm('p')}), '{{S}}') AS key FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents)),
 g AS (SELECT count(*) AS n FROM items GROUP BY grp), k AS (SELECT count(*) AS n FROM items GROUP BY key),
 gk AS (SELECT count(*) AS n FROM items GROUP BY grp, key), a AS (SELECT count(*) AS n FROM items),
 c AS (SELECT (SELECT sum(n * (n - 1) // 2) FROM gk) AS tp, (SELECT sum(n * (n - 1) // 2) FROM g) AS same,
@@ -276,6 +276,6 @@ c AS (SELECT (SELECT sum(n * (n - 1) // 2) FROM gk) AS tp, (SELECT sum(n * (n -
 SELECT tp::BIGINT AS tp, (same - tp)::BIGINT AS fn, (total - same - equal + tp)::BIGINT AS tn, (equal - tp)::BIGINT AS fp,
        round((tp / same + (total - same - equal + tp) / (total - same)) / 2, 6) AS bal_acc FROM c""")
 def same_pattern(t: Tables) -> DataFrame:
-    """Do documents of one source open with the same pattern? Equal first lines, as a pattern key."""
-    opening = t.documents.select(F.col("source").alias("grp"), F.split("text", "\n")[0].alias("text"))
-    return metrics.same_pattern(opening).select("tp", "fn", "tn", "fp", *six("bal_acc"))
+    """Do lines of one source follow the same pattern? All lines, equal as a pattern key."""
+    lines = t.documents.select(F.col("source").alias("grp"), F.explode(F.split("text", "\n")).alias("text"))
+    return metrics.same_pattern(lines).select("tp", "fn", "tn", "fp", *six("bal_acc"))

@@ -166,12 +166,11 @@ def similar(t: Tables) -> DataFrame:
 WITH pairs AS (
   SELECT a.vec_id AS id, b.vec_id AS other, round({sql.dot('a.embedding', 'b.embedding')}, 9) AS score
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
-SELECT id, other, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS rank FROM pairs WHERE score >= 0.3) WHERE rank <= 5""")
+SELECT id, other, round(score, 6) AS score FROM pairs WHERE score >= 0.35""")
 def vector_join(t: Tables) -> DataFrame:
-    """The join alone: pairs of distinct vectors at or above a similarity, five per vector."""
+    """The join alone: all pairs of distinct vectors at or above a similarity."""
     groups = similarity.distinct_vectors(t.vectors().select("id", "vec"))
-    return similarity.similar_groups(groups, 0.3, 5).select(F.col("gid").alias("id"), "other", *six("score"))
+    return similarity.similar_groups(groups, 0.35, (1 << 31) - 1).select(F.col("gid").alias("id"), "other", *six("score"))
 
 
 @query("o41_rank_all", f"""

@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from gleaner.operators.joins import lookup_join
 from gleaner.session import cut_lineage
 
-# What counts as a picture, by name and by its first bytes, and how large one may be.
+# What counts as a picture, by name and by its first bytes.
 IMAGE_EXTS = ("jpg", "jpeg", "png", "gif", "webp", "bmp", "heic", "heif")
 MAGIC = (
     ("JPEG", "^FFD8FF"), ("PNG", "^89504E470D0A1A0A"), ("GIF", "^474946383[79]61"),
     ("WEBP", "^52494646.{8}57454250"), ("BMP", "^424D"), ("HEIF", "^.{8}66747970(68656963|68656978|6D696631|6D736631|68657663)"),
 )
-MAX_BYTES = 20 * 1024 * 1024
 
 
 def content_id(content: Column) -> Column:
@@ -61,11 +60,11 @@ def scan_corpus(
     exts: Sequence[str] = IMAGE_EXTS,
     readable: Callable[[bytes], bool] | None = None,
     magic: Sequence[tuple[str, str]] = MAGIC,
-    max_bytes: int = MAX_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """One row per file: ok, duplicate (with the file it repeats), skipped or unreadable.
 
-    `readable` may decode the bytes; without it the first bytes and the size decide.
+    `readable` may decode the bytes; without it the first bytes decide. Files beyond `max_bytes` are unreadable.
     """
     files = reduce(
         DataFrame.unionByName,
@@ -73,8 +72,8 @@ def scan_corpus(
     )
     # the bytes of files nobody asked for, or too large to be one, are never read
     wanted = F.lower(F.substring_index("relpath", ".", -1)).isin(*exts) & F.contains("relpath", F.lit("."))
-    small = files.filter(wanted & (F.col("size") <= max_bytes))
-    rest = files.filter(~(wanted & (F.col("size") <= max_bytes))).drop("content")
+    fits = wanted if max_bytes is None else wanted & (F.col("size") <= max_bytes)
+    small, rest = files.filter(fits), files.filter(~fits).drop("content")
     sound = file_format(F.col("content"), magic).isNotNull()
     if readable is not None:
         check = _validator(readable)

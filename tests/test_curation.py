@@ -107,6 +107,16 @@ def test_a_failing_row_only_loses_itself_and_nothing_is_done_twice(spark, tmp_pa
     assert len(open(log).readlines()) == 2 * calls + 2
 
 
+def test_a_repeated_run_loses_nothing(spark, tmp_path):
+    items = spark.createDataFrame([(n, f"t{n}") for n in range(6)], "id int, text string")
+    store = Store(spark, str(tmp_path / "store"))
+    stage = Stage("s", _fragile(str(tmp_path / "calls")), "text", "bigint", "m", batch=4)
+    update(items.filter("id < 4"), [stage], store, "a").collect()
+    for _ in range(2):
+        assert [tuple(r) for r in update(items, [stage], store, "b").collect()] == [("s", 6, 0)]
+    assert sorted(r.id for r in store.read("s", "id int").collect()) == list(range(6))
+
+
 def test_fingerprints(spark):
     texts = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
     one = E.set_fingerprint(texts, "m").first()
