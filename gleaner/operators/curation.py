@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import dense_length, squeeze
 from gleaner.operators.joins import lookup_join
-from gleaner.operators.ordering import global_rank, top_k
+from gleaner.operators.ordering import global_rank, running_sum
 from gleaner.sources.logs import latest
 from gleaner.sources.pages import clean_meta
 
@@ -20,7 +20,6 @@ BUILT_IN = ("全部", "我喜欢")
 DEFAULT_NAME = "分享的图集"
 SHARED_SUFFIX, SHARED_SUFFIX_N = "（分享）", "（分享 %d）"
 LIKED = "liked"
-MAX_SUFFIX = 999
 
 
 # ---- review and visibility
@@ -270,24 +269,30 @@ def import_provenance(statuses: DataFrame, sources: DataFrame, names: DataFrame)
 def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
     """(cid, name): each wanted name, with the smallest free suffix where it is taken.
 
-    Collections that want the same name get the free ones in order of cid; beyond the last suffix the name is
-    null: too many collections are called that.
+    Collections that want the same name get the free ones in order of cid. Only a suffix as it is written here takes
+    up its number. With u places of a name taken in order, the place u_j has u_j - j free ones before it, so the t-th
+    free place is t and as many as have no more than t: a running count, and no list per name.
     """
     base = F.substring(squeeze(F.coalesce("name", F.lit(""))), 1, MAX_NAME - 6)
     asked = wanted.select("cid", F.when(base == "", F.lit(DEFAULT_NAME)).otherwise(base).alias("_base"))
     spark = wanted.sparkSession
     used = taken.select("name").unionByName(spark.createDataFrame([(b,) for b in BUILT_IN], "name string"))
     head, tail = SHARED_SUFFIX_N.split("%d")
-    pattern = f"^(.*?)(?:{SHARED_SUFFIX}|{head}(\\d+){tail})?$"
-    nth = F.regexp_extract("name", pattern, 2)
-    plain, first = F.regexp_extract("name", pattern, 1), F.col("name").endswith(SHARED_SUFFIX)
-    place = F.when(nth != "", nth.try_cast("int")).when(first, F.lit(1)).otherwise(F.lit(0))
-    places = used.select(plain.alias("_base"), place.alias("_n")).unionByName(used.select(F.col("name").alias("_base"), F.lit(0).alias("_n")))
-    places = places.filter(F.col("_n").between(0, MAX_SUFFIX)).groupBy("_base").agg(F.collect_set("_n").alias("_used"))  # at most 1000
-    turns = top_k(asked, ["_base"], [F.asc("cid")], MAX_SUFFIX + 1, "_turn")
-    joined = turns.join(places, "_base", "left")
-    used_set = F.coalesce("_used", F.array().cast("array<int>"))
-    free = F.get(F.array_sort(F.array_except(F.sequence(F.lit(0), F.lit(MAX_SUFFIX)), used_set)), F.col("_turn").cast("int") - 1)
-    name = F.when(free == 0, F.col("_base")).when(free == 1, F.concat("_base", F.lit(SHARED_SUFFIX))).when(
-        free.isNotNull(), F.concat(F.col("_base"), F.lit(head), free.cast("string"), F.lit(tail)))
-    return wanted.select("cid").join(joined.select("cid", name.alias("name")), "cid", "left")
+    numbered = f"^(?s)(.+){head}([2-9]|[1-9][0-9]{{1,8}}){tail}$"
+    plain = F.when(F.col("name").endswith(SHARED_SUFFIX), F.expr(f"substring(name, 1, length(name) - {len(SHARED_SUFFIX)})"))
+    nth = F.regexp_extract("name", numbered, 2)
+    places = used.select(F.col("name").alias("_base"), F.lit(0).cast("bigint").alias("_n")).unionByName(
+        used.select(plain.alias("_base"), F.lit(1).cast("bigint").alias("_n")).filter(F.col("_base").isNotNull())).unionByName(
+        used.filter(nth != "").select(F.regexp_extract("name", numbered, 1).alias("_base"), nth.cast("bigint").alias("_n")))
+    places = places.join(asked.select("_base").distinct(), "_base", "left_semi").distinct()
+    before = global_rank(places, ["_base"], [F.asc("_n")], "_j").select(
+        F.lit(None).cast(asked.schema["cid"].dataType).alias("cid"), "_base",
+        (F.col("_n") - F.col("_j") + 1).cast("bigint").alias("_at"), F.lit(1).cast("bigint").alias("_taken"))
+    turns = global_rank(asked, ["_base"], [F.asc("cid")], "_turn").select(
+        "cid", "_base", (F.col("_turn") - 1).cast("bigint").alias("_at"), F.lit(0).cast("bigint").alias("_taken"))
+    order = [F.asc("_at"), F.desc("_taken"), F.asc("cid")]
+    counted = running_sum(turns.unionByName(before), ["_base"], order, {"_before": "_taken"}).filter("_taken = 0")
+    free = F.col("_at") + F.col("_before")
+    name = F.when(free == 0, F.col("_base")).when(free == 1, F.concat("_base", F.lit(SHARED_SUFFIX))).otherwise(
+        F.concat(F.col("_base"), F.lit(head), free.cast("string"), F.lit(tail)))
+    return counted.select("cid", name.alias("name"))

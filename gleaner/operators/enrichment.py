@@ -100,10 +100,15 @@ def drop_failures(stage: DataFrame) -> DataFrame:
     return stage.filter(F.col("error").isNull())
 
 
-def merge_stage(stage: DataFrame, results: DataFrame, items: DataFrame) -> DataFrame:
-    """Results replace rows of the same id; results for unknown ids are ignored."""
+def merge_stage(stage: DataFrame, results: DataFrame, items: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Results replace rows of the same id; results for unknown ids are ignored.
+
+    Of several results for one id the last by `order` counts, and among equals (or without an order) the greatest row.
+    """
     known = results.join(items.select("id"), "id", "left_semi")
-    kept = stage.join(known.select("id").distinct(), "id", "left_anti")
+    others = [c for c in results.columns if c != "id"]
+    known = latest(known, ["id"], [*order, *[c for c in others if c not in order]]).select(*results.columns)
+    kept = stage.join(known.select("id"), "id", "left_anti")
     return kept.unionByName(known)
 
 

@@ -26,7 +26,6 @@ from gleaner.session import cut_lineage
 
 MAX_CANDIDATES = 500_000  # candidates of one pass; they are handed to every task
 QUERIES_PER_PASS = 1000
-SMALL_RANKING = 20_000_000  # rows: below this, ranking everything takes less time than several passes
 Routes = dict[str, tuple[DataFrame, DataFrame]]
 
 
@@ -169,12 +168,10 @@ def _lexical(queries: DataFrame, docs: DataFrame, script_map) -> DataFrame:
 
 def search_top(
     queries: DataFrame, docs: DataFrame, routes: Routes, k: int = 10, text_routes: tuple[str, ...] = ("ocr",),
-    lex_floor: float = fusion.LEX_FLOOR, script_map: dict[str, str] | None = None, small: int = SMALL_RANKING,
+    lex_floor: float = fusion.LEX_FLOOR, script_map: dict[str, str] | None = None,
 ) -> DataFrame:
     """The same rows as `fusion.search`: the best `k` of each query."""
     n_routes = len(routes) + 1
-    if queries.count() * docs.count() * n_routes <= small:
-        return top_k(_full_hits(queries, docs, routes, text_routes, lex_floor, script_map), ["query"], best_first(), k)
     depth = n_routes * (fusion.RRF_K + k) - fusion.RRF_K
     found = []
     for block in query_blocks(queries, QUERIES_PER_PASS):
@@ -190,7 +187,6 @@ def split_top(
     queries: DataFrame, docs: DataFrame, routes: Routes, maybe_k: int = 12, hidden: DataFrame | None = None,
     text_routes: tuple[str, ...] = ("ocr",), lex_floor: float = fusion.LEX_FLOOR,
     match_threshold: float = fusion.MATCH_THRESHOLD, lex_match: float = fusion.LEX_MATCH, script_map: dict[str, str] | None = None,
-    small: int = SMALL_RANKING,
 ) -> DataFrame:
     """The same rows as `fusion.split_search`: all confident matches, and the best `maybe_k` others.
 
@@ -199,9 +195,6 @@ def split_top(
     """
     n_routes = len(routes) + 1
     n_items = docs.count()
-    if queries.count() * n_items * n_routes <= small:
-        hits = _full_hits(queries, docs, routes, text_routes, lex_floor, script_map)
-        return fusion.split_search(hits, maybe_k, hidden, match_threshold, lex_match)
     found = []
     for block in query_blocks(queries, QUERIES_PER_PASS):
         lex = _lexical(block, docs, script_map)

@@ -75,11 +75,19 @@ def object_text(raw: Column) -> Column:
 
 
 def parse_object(raw: Column) -> Column:
-    """The answer's JSON object as a variant; null where there is none."""
+    """The answer's JSON object as a variant; null where there is none.
+
+    Of a key written twice the last counts, if the session allows it (`last_key_counts`).
+    """
     parsed = F.try_parse_json(object_text(raw))
     return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
 
 
+def last_key_counts(df: DataFrame) -> None:
+    """Answers may repeat a key; Spark refuses such JSON unless the session says otherwise."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def _field(obj: Column, name: str, kind: str) -> Column:
     return F.try_variant_get(obj, f"$['{name}']", kind)
 
@@ -92,13 +100,17 @@ def _word(v: Column) -> Column:
     """One list entry as text, written as the models' answers are elsewhere."""
     kind = F.schema_of_variant(v)
     s = v.cast("string")
-    return strip(F.when(kind == "BOOLEAN", F.initcap(s)).when(kind == "VOID", F.lit("None")).otherwise(s))
+    return F.when(kind == "BOOLEAN", F.initcap(s)).when(kind == "VOID", F.lit("None")).otherwise(s)
+
+
+def _words(obj: Column, name: str) -> Column:
+    """A list's entries that are not blank, as they are; an empty list for what is none."""
+    values = F.filter(F.transform(_field(obj, name, "array<variant>"), _word), lambda s: strip(s) != "")
+    return F.when(_type_of(obj, name).startswith("ARRAY"), values).otherwise(F.array().cast("array<string>"))
 
 
 def _list(obj: Column, name: str) -> Column:
-    values = F.transform(_field(obj, name, "array<variant>"), _word)
-    is_list = _type_of(obj, name).startswith("ARRAY")
-    return F.when(is_list, F.filter(values, lambda s: s != "")).otherwise(F.array().cast("array<string>"))
+    return F.transform(_words(obj, name), strip)
 
 
 def _string(obj: Column, name: str) -> Column:
@@ -112,6 +124,7 @@ def subject_name(name: Column) -> Column:
 
 def structure_notes(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Only the fields asked for, each of the type asked for, plus `ok`: whether there was an object at all."""
+    last_key_counts(df)
     df = df.withColumn("_obj", parse_object(F.col(raw)))
     obj = F.col("_obj")
     cols = {NOTE_COLUMNS[f]: (_string if kind is str else _list)(obj, f) for f, kind in NOTE_FIELDS.items()}
@@ -121,14 +134,21 @@ def structure_notes(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def describe(df: DataFrame, raw: str = "raw", out: str = "text") -> DataFrame:
-    """An answer as one line of `key：value`, lists joined; what is no object stays as it is."""
+    """An answer as one line of `key：value`, lists joined; what is no object stays as it is.
+
+    Zero, false, null and blank values are left out; an object within the answer is written as JSON.
+    """
+    last_key_counts(df)
     df = df.withColumn("_obj", parse_object(F.col(raw)))
     obj = F.col("_obj")
     parts = []
     for f in DESCRIPTION_FIELDS:
         kind = _type_of(obj, f)
-        listed = F.array_join(_list(obj, f), "；")
-        value = F.when(kind.startswith("ARRAY"), listed).when(kind == "VOID", F.lit("")).otherwise(strip(_field(obj, f, "string")))
+        listed = strip(F.array_join(_words(obj, f), "；"))
+        single = strip(_word(_field(obj, f, "variant")))
+        number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        nothing = (kind == "VOID") | (single == "False") & (kind == "BOOLEAN") | number & (single.try_cast("double") == 0) | kind.startswith("OBJECT<>")
+        value = F.when(kind.startswith("ARRAY"), listed).when(nothing, F.lit("")).otherwise(single)
         parts.append(F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{f}："), value)))
     whole = F.concat_ws(" ", *parts)
     return df.withColumn(out, F.when(obj.isNull(), F.col(raw)).otherwise(whole)).drop("_obj")

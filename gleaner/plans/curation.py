@@ -293,7 +293,7 @@ def import_status(t: Tables) -> DataFrame:
 @query("o10_free_names", """
 WITH x AS (SELECT c_custkey AS cid, c_mktsegment AS base, (n.seg IS NOT NULL)::INT + row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS n
   FROM customer LEFT JOIN (SELECT DISTINCT c_mktsegment AS seg FROM customer WHERE c_acctbal > 9995) n ON n.seg = c_mktsegment)
-SELECT cid, CASE WHEN n = 0 THEN base WHEN n = 1 THEN base || '（分享）' WHEN n < 1000 THEN base || '（分享 ' || n || '）' END AS name FROM x""")
+SELECT cid, CASE WHEN n = 0 THEN base WHEN n = 1 THEN base || '（分享）' ELSE base || '（分享 ' || n || '）' END AS name FROM x""")
 def free_names(t: Tables) -> DataFrame:
     """Each customer shares a collection called by its segment; rich customers' segments are taken."""
     wanted = t.customer.select(F.col("c_custkey").alias("cid"), F.col("c_mktsegment").alias("name"))

@@ -77,6 +77,21 @@ def test_sharing(spark):
         "1": "猫（分享）", "2": "狗（分享 2）", "3": "鸟（分享）", "4": "全部（分享）", "5": "新", "6": "分享的图集", "7": "猫（分享 2）"}
 
 
+def test_only_suffixes_as_written_count(spark):
+    taken = ["x", "x（分享 1）", "y（分享 0）", "z", "z（分享）", "z（分享 02）", "w（分享）", "v", "v（分享）", "v（分享 2）", "v（分享 4）"]
+    wanted = list(enumerate(["x", "y", "z", "w", "w", "v", "v", "v", "w（分享）"]))
+    got = C.free_names(spark.createDataFrame(wanted, "cid int, name string"), spark.createDataFrame([(n,) for n in taken], "name string"))
+    assert [r.name for r in got.orderBy("cid").collect()] == [
+        "x（分享）", "y", "z（分享 2）", "w", "w（分享 2）", "v（分享 3）", "v（分享 5）", "v（分享 6）", "w（分享）（分享）"]
+
+
+def test_the_last_result_of_an_id_counts(spark):
+    stage = spark.createDataFrame([("a", 1, "old"), ("b", 1, "old")], "id string, at int, value string")
+    results = spark.createDataFrame([("a", 2, "z"), ("a", 3, "c"), ("x", 3, "no")], "id string, at int, value string")
+    items = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert {tuple(r) for r in E.merge_stage(stage, results, items, ["at"]).collect()} == {("a", 3, "c"), ("b", 1, "old")}
+
+
 def _fragile(log):
     def make():
         def fn(texts):

@@ -23,8 +23,8 @@ def _act(t, q, i, user="u"):
 
 
 LOG = [
-    _search(0, "猫猫", ["a"], ["b"]), _search(5, "猫猫", ["a"], ["b"]), _act(6, "猫猫", "b"), _act(7, "猫猫", "b"),
-    _search(400, "那只狗", ["x"]), _search(420, "狗狗", ["c", "d"]), _act(430, "狗狗", "c"), _search(900, "鸭子"), _act(950, "猫猫", "z"),
+    _search(0, "礁石", ["a"], ["b"]), _search(8, "礁石", ["a"], ["b"]), _act(9, "礁石", "b"), _act(11, "礁石", "b"),
+    _search(500, "那座桥", ["x"]), _search(530, "木桥", ["c", "d"]), _act(545, "木桥", "c"), _search(1000, "渡船"), _act(1040, "礁石", "z"),
 ]
 
 
@@ -32,11 +32,11 @@ def test_sessions_summary_and_export(spark):
     attached = L.attach_sessions(_events(spark, LOG))
     rows = L.with_next(L.sessions(attached))
     got = [(r.q, r.n_acted, r.first_acted, r.rephrased) for r in rows.orderBy("start_t").collect()]
-    assert got == [("猫猫", 1, "b", False), ("那只狗", 0, None, True), ("狗狗", 1, "c", False), ("鸭子", 0, None, False)]
+    assert got == [("礁石", 1, "b", False), ("那座桥", 0, None, True), ("木桥", 1, "c", False), ("渡船", 0, None, False)]
     assert tuple(L.search_summary(rows).first()) == (4, 2, 1, 1, 1, 1, 2)
     relpaths = spark.createDataFrame([("b", "b.png"), ("c", "c.png")], "id string, relpath string")
     out = {r.query: r.expected for r in L.export_queries(L.wanted_items(attached, rows), relpaths).collect()}
-    assert out == {"猫猫": "b.png", "那只狗": "c.png", "狗狗": "c.png"}
+    assert out == {"礁石": "b.png", "那座桥": "c.png", "木桥": "c.png"}
 
 
 def test_the_gap_counts_from_the_start_of_the_session(spark):
