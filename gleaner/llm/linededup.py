@@ -139,7 +139,8 @@ def line_dedup(
     twice = repeat_filter(docs, text, bits, min_length)
     suspected = cut_lineage(suspects(docs, id, text, twice, min_length))
     found = suspected.groupBy("key").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last"))
-    found = found.filter(F.col("n") >= min_docs).select("key", "last")
+    # written, so that the join reads two plain shuffles and a line of very many documents is split between tasks
+    found = cut_lineage(found.filter(F.col("n") >= min_docs).select("key", "last"))
     lost = suspected.join(found, "key").filter(F.col("id") != F.col("last"))
     lost = lost.groupBy("id").agg(F.collect_set("key").alias("_drop")).select(F.col("id").alias("_id"), "_drop")
     rows = docs.drop(*[c for c in ("_id", "_drop", "n_lines", "n_dropped") if c not in (id, text)])
