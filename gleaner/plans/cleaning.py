@@ -161,7 +161,7 @@ def structure_notes(t: Tables) -> DataFrame:
 
 @query("o83_describe", """
 SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'no object: purchase' ELSE
-  '画面：' || json_extract_string(props, '$.k') || ' 情绪：' || event_type || '；' || json_extract_string(props, '$.k') || ' 梗：' || event_type END AS text
+  CASE WHEN json_extract_string(props, '$.k') = '0' THEN '' ELSE '画面：' || json_extract_string(props, '$.k') || ' ' END || '情绪：' || event_type || '；' || json_extract_string(props, '$.k') || ' 梗：' || event_type END AS text
 FROM events""")
 def describe(t: Tables) -> DataFrame:
     return generated.describe(_notes(t)).select("event_id", "text")
