@@ -166,18 +166,34 @@ def _lexical(queries: DataFrame, docs: DataFrame, script_map) -> DataFrame:
     return cut_lineage(lex.withColumn("share", F.round("share", fusion.FUSED_DIGITS)))
 
 
+def halves(queries: DataFrame) -> list[DataFrame]:
+    """The queries in two or three parts, for a pass with fewer candidates; none if there is but one query."""
+    n = queries.count()
+    parts = query_blocks(queries, -(-n // 2)) if n > 1 else []
+    return [p for p in map(cut_lineage, parts) if not p.isEmpty()]
+
+
 def search_top(
     queries: DataFrame, docs: DataFrame, routes: Routes, k: int = 10, text_routes: tuple[str, ...] = ("ocr",),
     lex_floor: float = fusion.LEX_FLOOR, script_map: dict[str, str] | None = None,
 ) -> DataFrame:
-    """The same rows as `fusion.search`: the best `k` of each query."""
+    """The same rows as `fusion.search`: the best `k` of each query.
+
+    Queries with too many candidates together are asked in smaller passes; only one query that has too many by itself
+    is ranked in full.
+    """
     n_routes = len(routes) + 1
     depth = n_routes * (fusion.RRF_K + k) - fusion.RRF_K
-    found = []
-    for block in query_blocks(queries, QUERIES_PER_PASS):
+    found, waiting = [], query_blocks(queries, QUERIES_PER_PASS)
+    while waiting:
+        block = waiting.pop()
         lex = _lexical(block, docs, script_map)
         hits = candidate_hits(block, docs, routes, depth, lex, text_routes, lex_floor, np.inf, np.inf)
         if hits is None:
+            fewer = halves(block)
+            if len(fewer) > 1:
+                waiting += fewer
+                continue
             hits = _full_hits(block, docs, routes, text_routes, lex_floor, script_map)
         found.append(top_k(hits, ["query"], best_first(), k))
     return reduce(DataFrame.unionByName, found)
@@ -191,19 +207,25 @@ def split_top(
     """The same rows as `fusion.split_search`: all confident matches, and the best `maybe_k` others.
 
     A query is settled once its last candidate scores above what any item not looked at could score; for the
-    others the routes are followed further down.
+    others the routes are followed further down. Queries with too many candidates together are asked in smaller
+    passes.
     """
     n_routes = len(routes) + 1
     n_items = docs.count()
-    found = []
-    for block in query_blocks(queries, QUERIES_PER_PASS):
+    first = n_routes * (fusion.RRF_K + 4 * maybe_k) - fusion.RRF_K
+    found, waiting = [], [(block, first) for block in query_blocks(queries, QUERIES_PER_PASS)]
+    while waiting:
+        block, depth = waiting.pop()
         lex = _lexical(block, docs, script_map)
-        depth = n_routes * (fusion.RRF_K + 4 * maybe_k) - fusion.RRF_K
         while True:
             hits = None
             if depth < n_items:
                 hits = candidate_hits(block, docs, routes, depth, lex, text_routes, lex_floor, match_threshold, lex_match)
             if hits is None:
+                fewer = halves(block) if depth < n_items else []
+                if len(fewer) > 1:
+                    waiting += [(part, depth) for part in fewer]
+                    break
                 found.append(fusion.split_search(
                     _full_hits(block, docs, routes, text_routes, lex_floor, script_map), maybe_k, hidden, match_threshold, lex_match))
                 break

@@ -42,7 +42,7 @@ def scan_leaks(texts: DataFrame, parts: DataFrame) -> DataFrame:
     padded = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
     whole_word = F.concat(F.lit(_EDGE + "\\Q"), F.col("_low"), F.lit("\\E" + _EDGE))
     checked = longer.join(texts, "id").filter(F.rlike(padded, whole_word)).select("id", "part")
-    loose = texts.join(broadcast_if_small(bare, 10_000), F.contains(padded, F.col("_low")))
+    loose = texts.join(broadcast_if_small(bare), F.contains(padded, F.col("_low")))
     loose = loose.filter(F.rlike(padded, whole_word)).select("id", "part")
     return reduce(DataFrame.unionByName, [plain, checked, loose])
 

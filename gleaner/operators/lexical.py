@@ -9,7 +9,6 @@ from gleaner.functions import text as T
 from gleaner.session import broadcast_if_small, cut_lineage
 
 QUERY, ITEM = "query", "id"
-MAX_WANTED = 500_000  # (query, gram) rows small enough to go to every task
 
 
 def document_grams(docs: DataFrame, script_map: dict[str, str] | None = None) -> DataFrame:
@@ -71,8 +70,8 @@ def score_hits(wanted: DataFrame, hits: DataFrame, weights: DataFrame, size: Dat
         QUERY, "gram", "idf", F.coalesce("idf", F.ln((F.col("n") + 1) / F.lit(0.5))).alias("ask")
     ))
     totals = weighed.groupBy(QUERY).agg(F.sum("ask").alias("total"))
-    # broadcast when counted small: postings are then summed where they are, document by document
-    known = broadcast_if_small(weighed.filter(F.col("idf").isNotNull()), MAX_WANTED)
+    # broadcast when measured small: postings are then summed where they are, document by document
+    known = broadcast_if_small(weighed.filter(F.col("idf").isNotNull()))
     found = hits.join(known, "gram").groupBy(QUERY, ITEM).agg(F.sum("idf").alias("found"))
     return found.join(totals, QUERY).select(QUERY, ITEM, (F.col("found") / F.col("total")).alias("share"))
 

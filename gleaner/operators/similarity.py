@@ -7,6 +7,7 @@ task multiplies two blocks and returns only what the operator asked for, so no t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from gleaner.session import cut_lineage
 
 BLOCK_ROWS = 16384
 STRIP_ROWS = 1024  # rows multiplied at a time inside a task
+REPLICA_ROWS = 65536  # replicas that leave a task in one batch, give or take an input batch
 _SLACK = 1e-5  # angles are compared with this much room, so rounding never loses a partner
 # left rows, right rows, their products, and where the left rows stand in the right ones if these are the same block
 PairFn = Callable[[pa.Table, pa.Table, np.ndarray, int | None], pa.Table]
@@ -61,16 +63,17 @@ def block_pairs(
     payload: tuple[str, ...] = ("gid",),
     key: str = "gid",
     block_rows: int = BLOCK_ROWS,
-    max_pivots: int = 128,
+    max_pivots: int | None = None,
 ) -> DataFrame:
     """Run `fn(left, right, products, offset)` over the strips of every two blocks that may hold a pair.
 
     Each unordered pair of rows meets once, in one direction; inside a block (`offset` given) it meets in both.
-    With `tau`, pairs whose product cannot reach it may be left out; without, every pair meets.
+    With `tau`, pairs whose product cannot reach it may be left out; without, every pair meets. There are as many
+    pivots as blocks, but no more than the square root of the number of rows, which each row is compared with.
     """
     spark = vectors.sparkSession
     n = vectors.count()
-    want = 1 if tau is None else int(min(max_pivots, max(1, n // block_rows)))
+    want = 1 if tau is None else max(1, min(n // block_rows, math.isqrt(n) if max_pivots is None else max_pivots))
     pivots = _unit(np.array(
         [r["vec"] for r in vectors.orderBy(F.xxhash64(key), key).limit(want).collect()], dtype=np.float64
     )) if n else np.zeros((0, 0))
@@ -118,35 +121,44 @@ def block_pairs(
             ang = _angles(matrix(b.column("vec")), shared.value[0])
             home = ang.argmin(axis=1)
             mix = b.column("_mix").to_numpy(zero_copy_only=False)
-            rows, cell, lb, rb, left = [], [], [], [], []
-
-            def put(r, c, l, x, is_left):
-                rows.append(r), cell.append(c), lb.append(l), rb.append(x), left.append(np.full(len(r), is_left))
-
-            for c in np.unique(home):
-                mine = np.nonzero(home == c)[0]
-                block = mix[mine] % m_blocks[c]
-                for other in range(m_blocks[c]):
-                    up = block <= other  # left of every later block and of its own
-                    put(mine[up], np.full(up.sum(), c), block[up], np.full(up.sum(), other), True)
-                    down = block > other
-                    put(mine[down], np.full(down.sum(), c), np.full(down.sum(), other), block[down], False)
-                for guest in range(v_blocks[c]):
-                    put(mine, np.full(len(mine), c), block, np.full(len(mine), m_blocks[c] + guest), True)
-            if want > 1:
-                who, where = np.nonzero(visits(ang, home))
-                for c in np.unique(where):
-                    mine = who[where == c]
-                    guest = m_blocks[c] + mix[mine] % v_blocks[c]
-                    for block in range(m_blocks[c]):
-                        put(mine, np.full(len(mine), c), np.full(len(mine), block), guest, False)
-            take = pa.array(np.concatenate(rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(lb).astype(np.int32)),
-                 pa.array(np.concatenate(rb).astype(np.int32)), pa.array(np.concatenate(left)),
-                 *[b.column(c).take(take) for c in payload], b.column("vec").take(take)],
-                names=["cell", "lb", "rb", "is_left", *payload, "vec"],
-            )
+
+            def replicas() -> Iterator[tuple]:
+                """(rows, cell, left block, right block, on the left) of every block pair the rows meet in."""
+                for c in np.unique(home):
+                    mine = np.nonzero(home == c)[0]
+                    block = mix[mine] % m_blocks[c]
+                    for other in range(m_blocks[c]):
+                        up = block <= other  # left of every later block and of its own
+                        yield mine[up], c, block[up], other, True
+                        yield mine[~up], c, other, block[~up], False
+                    for guest in range(v_blocks[c]):
+                        yield mine, c, block, m_blocks[c] + guest, True
+                if want > 1:
+                    who, where = np.nonzero(visits(ang, home))
+                    for c in np.unique(where):
+                        mine = who[where == c]
+                        guest = m_blocks[c] + mix[mine] % v_blocks[c]
+                        for block in range(m_blocks[c]):
+                            yield mine, c, block, guest, False
+
+            def batch(held: list[tuple]) -> pa.RecordBatch:
+                take = pa.array(np.concatenate([r[0] for r in held]))
+                cell, lb, rb = [
+                    pa.array(np.concatenate([np.broadcast_to(r[k], len(r[0])) for r in held]).astype(np.int32)) for k in (1, 2, 3)]
+                left = pa.array(np.concatenate([np.full(len(r[0]), r[4]) for r in held]))
+                return pa.RecordBatch.from_arrays(
+                    [cell, lb, rb, left, *[b.column(c).take(take) for c in payload], b.column("vec").take(take)],
+                    names=["cell", "lb", "rb", "is_left", *payload, "vec"])
+
+            held, n_held = [], 0
+            for one in replicas():
+                held.append(one)
+                n_held += len(one[0])
+                if n_held >= REPLICA_ROWS:
+                    yield batch(held)
+                    held, n_held = [], 0
+            if n_held:
+                yield batch(held)
 
     mixed = vectors.select(*payload, "vec", F.pmod(F.xxhash64(F.lit("block"), F.col(key)), F.lit(1 << 40)).alias("_mix"))
     blocks = mixed.mapInArrow(assign, f"cell int, lb int, rb int, is_left boolean, {fields}, vec {vec_type}")
@@ -251,7 +263,12 @@ def pair_histogram(items: DataFrame, thresholds: list[float], side: str | None =
 
     `bin` is how many thresholds the pair's similarity reaches. With `side`, only pairs on one side count, and
     the side is a column of the result. Pairs are counted where they are multiplied; only counts leave a task.
+    Pairs that cannot reach the least threshold need not meet: how many reach none follows from the group sizes.
+    Items without a side are not counted, and one without a group is like no other.
     """
+    by = [side] if side else []
+    if side:
+        items = items.filter(F.col(side).isNotNull())
     edges = np.asarray(thresholds)
     cols = ("id", "grp") + ((side,) if side else ())
     side_type = items.schema[side].dataType.simpleString() if side else ""
@@ -280,5 +297,15 @@ def pair_histogram(items: DataFrame, thresholds: list[float], side: str | None =
             types[side] = a.schema.field(side).type
         return pa.table({c: pa.array(v, type=types[c]) for c, v in out.items()})
 
-    counted = block_pairs(items.select(*cols, "vec"), fn, schema, payload=cols, key="id", block_rows=block_rows)
-    return counted.groupBy(*([side] if side else []), "bin", "same").agg(F.sum("pairs").alias("pairs"))
+    tau = min(thresholds, default=0.0)
+    counted = block_pairs(
+        items.select(*cols, "vec"), fn, schema, tau=tau if tau > 0 else None, payload=cols, key="id", block_rows=block_rows)
+    reached = cut_lineage(counted.filter("bin > 0").groupBy(*by, "bin", "same").agg(F.sum("pairs").alias("pairs")))
+    sizes = items.groupBy(*by, "grp").agg(F.count(F.lit(1)).alias("n"))
+    alike = F.coalesce(F.sum(F.when(F.col("grp").isNotNull(), F.expr("n * (n - 1) div 2"))), F.lit(0))
+    every = sizes.groupBy(*by).agg(alike.alias("alike"), F.sum("n").alias("n")).select(*by, F.explode(F.array(
+        F.struct(F.lit(True).alias("same"), F.col("alike").alias("pairs")),
+        F.struct(F.lit(False).alias("same"), F.expr("n * (n - 1) div 2 - alike").alias("pairs")))).alias("all"))
+    left = every.select(*by, "all.same", "all.pairs").unionByName(reached.select(*by, "same", (-F.col("pairs")).alias("pairs")))
+    none = left.groupBy(*by, "same").agg(F.sum("pairs").alias("pairs")).filter("pairs > 0")
+    return reached.unionByName(none.select(*by, F.lit(0).alias("bin"), "same", "pairs"))

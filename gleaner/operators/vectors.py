@@ -194,7 +194,7 @@ def absent_places(queries: DataFrame, vectors: DataFrame, items: DataFrame, mode
     n = fit.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
     answered = queries.select("query").crossJoin(F.broadcast(n))  # one row
     numbered = global_rank(items.select("id").join(fit, "id", "left_anti"), [], [F.asc("id")], "_place")
-    return numbered.crossJoin(broadcast_if_small(answered, MAX_QUERIES)).select(
+    return numbered.crossJoin(broadcast_if_small(answered)).select(
         "query", "id", F.lit(None).cast("double").alias("score"), (F.col("_n") + F.col("_place")).alias("rank")
     )
 

@@ -216,19 +216,21 @@ def scan_leaks(t: Tables) -> DataFrame:
 
 
 @query("o21_pick_captions", """
-WITH e AS (SELECT source AS template, doc_id AS id, replace(printf('%,d', n_chars), ' ', '') AS votes, n_chars,
-    'src/' || doc_id AS url, regexp_replace(split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g') AS a,
-    regexp_replace(split_part(text, chr(10), 2), '^\\s+|\\s+$', '', 'g') AS b,
-    len(string_split(text, chr(10))) >= 2 AS two FROM documents),
-good AS (SELECT *, a || ' / ' || b AS caption FROM e WHERE two AND a <> '' AND b <> ''
+WITH l AS (SELECT source, doc_id, n_chars, string_split(text, chr(10)) AS lines FROM documents),
+p AS (SELECT *, unnest(range(1, len(lines))) AS i FROM l),
+e AS (SELECT source AS template, n_chars, 'src/' || doc_id || '/' || i AS url,
+    regexp_replace(lines[i], '^\\s+|\\s+$', '', 'g') AS a, regexp_replace(lines[i + 1], '^\\s+|\\s+$', '', 'g') AS b FROM p),
+good AS (SELECT *, a || ' / ' || b AS caption FROM e WHERE a <> '' AND b <> ''
   AND length(a || ' / ' || b) BETWEEN 10 AND 120 AND NOT contains(lower(a || b), 'http') AND regexp_full_match(a || ' / ' || b, '[\\x20-\\x7e]+'))
 SELECT template, url, caption, rank FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY n_chars DESC, url) AS rank FROM good) WHERE rank <= 3""")
 def pick_captions(t: Tables) -> DataFrame:
-    """The first two lines of documents as two boxes, their length as votes, their source as template."""
+    """Every two lines of a document that follow each other as two boxes, its length as votes, its source as template."""
     from gleaner.operators.captions import pick_captions as pick
 
-    boxes = F.slice(F.split("text", "\n"), 1, 2)
-    entries = t.documents.select(
-        F.col("source").alias("template"), boxes.alias("boxes"), F.concat(F.lit("src/"), F.col("doc_id")).alias("url"),
-        F.format_number("n_chars", 0).alias("votes"))
+    lines = F.split("text", "\n")
+    entries = t.documents.select("source", "doc_id", "n_chars", F.posexplode(F.arrays_zip(
+        lines.alias("a"), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))).alias("b"))).alias("i", "two"))
+    entries = entries.filter(F.col("two.b").isNotNull()).select(
+        F.col("source").alias("template"), F.array("two.a", "two.b").alias("boxes"),
+        F.concat(F.lit("src/"), "doc_id", F.lit("/"), F.col("i") + 1).alias("url"), F.format_number("n_chars", 0).alias("votes"))
     return pick(entries, 3).select("template", "url", "caption", "rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import curation as C
 from gleaner.operators import enrichment as E
-from gleaner.operators import similarity
+from gleaner.operators.vectors import score_vectors
 from gleaner.plans import sql
 from gleaner.plans.registry import Tables, big, query
 
@@ -185,13 +185,15 @@ def feed_collection(t: Tables) -> DataFrame:
 WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings),
 one AS (SELECT min(id) AS id FROM v),
 near AS (SELECT v.id, round({sql.dot('v.vec', 'o.vec')}, 9) AS score FROM v, v o, one WHERE o.id = one.id AND v.id <> one.id),
-top AS (SELECT * FROM near WHERE score >= 0.3 ORDER BY score DESC, id LIMIT 12)
+top AS (SELECT * FROM near WHERE score >= 0.3)
 SELECT v.id, row_number() OVER (ORDER BY v.id <> one.id, t.score IS NULL, -t.score, CASE WHEN t.score IS NULL THEN md5('1:' || v.id) ELSE '' END, v.id) AS pos
 FROM v CROSS JOIN one LEFT JOIN top t ON t.id = v.id""")
 def feed_item(t: Tables) -> DataFrame:
-    """From the first vector on: the ones like it, then the rest shuffled."""
+    """From the first vector on: all that are like it, then the rest shuffled."""
     first = t.vectors().agg(F.min("id")).first()[0]
-    near = similarity.similar(t.vectors(), None, k=12, tau_text=0.3)
+    one = t.vectors().filter(F.col("id") == first).select(F.col("id").alias("query"), "vec")
+    found = score_vectors(one, t.vectors(), depth=1, floor=0.3).filter((F.col("score") >= 0.3) & (F.col("id") != first))
+    near = found.select(F.col("query").alias("id"), F.col("id").alias("similar"), "score")
     return C.feed_item(t.vectors(), first, near, seed=1)
 
 

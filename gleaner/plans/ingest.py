@@ -112,8 +112,18 @@ def clean_meta(t: Tables) -> DataFrame:
     return pages.clean_meta(meta)
 
 
-@query("o01_scan_corpus")
+@query("o01_scan_corpus", """
+WITH f AS (SELECT source, doc_id || '.' || coalesce(lang, '') AS relpath, octet_length(encode(text))::BIGINT AS size, coalesce(lang IN ('en', 'de'), false) AS wanted,
+    coalesce(regexp_matches(text, '^[A-Z]'), false) AS sound, substring(sha256(text), 1, 16) AS id FROM documents),
+good AS (SELECT source, relpath, size, id, first_value(source || '/' || relpath) OVER w AS first, row_number() OVER w > 1 AS again
+         FROM f WHERE wanted AND sound WINDOW w AS (PARTITION BY id ORDER BY source, relpath))
+SELECT id, source, relpath, size, CASE WHEN again THEN 'duplicate' ELSE 'ok' END AS status, CASE WHEN again THEN first END AS duplicate_of FROM good
+UNION ALL SELECT CASE WHEN wanted THEN id END, source, relpath, size, CASE WHEN wanted THEN 'unreadable' ELSE 'skipped' END, NULL FROM f WHERE NOT (wanted AND sound)""")
 def scan_corpus(t: Tables) -> DataFrame:
-    """The folder of the tables itself as a corpus of files of one format."""
-    found = files.scan_corpus(t.spark, [t.folder], ("parquet",), magic=(("PARQUET", "^50415231"),))
-    return found.select("id", "relpath", "size", "status")
+    """Documents as files: the source is the folder, the language the ending, a capital letter the format's first byte."""
+    name = F.concat("doc_id", F.lit("."), F.coalesce("lang", F.lit("")))
+    corpus = t.spread("documents").select(
+        F.col("source").alias("source_pos"), "source", name.alias("relpath"), F.concat("source", F.lit("/"), name).alias("path"),
+        F.octet_length("text").cast("bigint").alias("size"), F.lit(0).alias("mtime"), F.col("text").cast("binary").alias("content"))
+    found = files.classify(corpus, ("en", "de"), magic=(("CAPITAL", "^(4[1-9A-F]|5[0-9A])"),))
+    return found.select("id", "source", "relpath", "size", "status", "duplicate_of")

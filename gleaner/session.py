@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -67,9 +67,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting that `df` is within `max_rows`; otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, written once and measured, with a broadcast hint if it is within `max_bytes`; otherwise the join is Spark's.
+
+    The measure is the length of the rows as JSON, null fields aside.
+    """
+    df = cut_lineage(df)
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")).first()["size"] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def take_bounded(df: DataFrame, max_rows: int, what: str) -> list:

@@ -62,14 +62,26 @@ def scan_corpus(
     magic: Sequence[tuple[str, str]] = MAGIC,
     max_bytes: int | None = None,
 ) -> DataFrame:
-    """One row per file: ok, duplicate (with the file it repeats), skipped or unreadable.
-
-    `readable` may decode the bytes; without it the first bytes decide. Files beyond `max_bytes` are unreadable.
-    """
+    """One row per file under the folders `sources`, as `classify` gives them."""
     files = reduce(
         DataFrame.unionByName,
         [read_files(spark, s).withColumn("source_pos", F.lit(i)) for i, s in enumerate(sources)],
     )
+    return classify(files, exts, readable, magic, max_bytes)
+
+
+def classify(
+    files: DataFrame,
+    exts: Sequence[str] = IMAGE_EXTS,
+    readable: Callable[[bytes], bool] | None = None,
+    magic: Sequence[tuple[str, str]] = MAGIC,
+    max_bytes: int | None = None,
+) -> DataFrame:
+    """Each file (source_pos, source, relpath, path, size, mtime, content) as ok, duplicate (with the file it repeats),
+    skipped or unreadable.
+
+    `readable` may decode the bytes; without it the first bytes decide. Files beyond `max_bytes` are unreadable.
+    """
     # the bytes of files nobody asked for, or too large to be one, are never read
     wanted = F.lower(F.substring_index("relpath", ".", -1)).isin(*exts) & F.contains("relpath", F.lit("."))
     fits = wanted if max_bytes is None else wanted & (F.col("size") <= max_bytes)

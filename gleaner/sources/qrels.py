@@ -27,7 +27,9 @@ def resolve_qrels(rows: DataFrame, known: DataFrame) -> DataFrame:
         F.col("relpath").alias("name"), F.col("relpath").alias("_exact"))
     base = known.groupBy(F.substring_index("relpath", "/", -1).alias("name")).agg(
         F.count(F.lit(1)).alias("_n"), F.min("relpath").alias("_base")).filter("_n = 1").drop("_n")
-    found = named.join(exact, "name", "left").join(base, "name", "left")
+    blank = named.filter(F.col("name").isNull())  # kept out of the joins: all would meet in one task
+    found = named.filter(F.col("name").isNotNull()).join(exact, "name", "left").join(base, "name", "left")
+    found = found.unionByName(blank.select("query", "name", *[F.lit(None).cast("string").alias(c) for c in ("_exact", "_base")]))
     relevant = F.coalesce("_exact", "_base")
     status = F.when(F.col("name").isNull(), "unlabeled").when(relevant.isNull(), "unknown").otherwise("found")
     return found.select("query", "name", relevant.alias("relevant"), status.alias("status"))
