@@ -85,9 +85,10 @@ def test_patterns(spark):
         assert r.a == r.b and "{S}" in r.a
 
 
-@pytest.mark.parametrize("seed,n,vectors", [(0, 500, 500), (1, 500, 90)])
-def test_looking_at_the_first_places_only_gives_the_same_search(spark, seed, n, vectors):
-    """Many equal vectors and tied scores, items without a vector, hidden and matching items."""
+@pytest.mark.parametrize("seed,n,vectors,most", [(0, 500, 500, 10**6), (1, 500, 90, 10**6), (1, 500, 90, 700)])
+def test_looking_at_the_first_places_only_gives_the_same_search(spark, seed, n, vectors, most, monkeypatch):
+    """Many equal vectors and tied scores, items without a vector, hidden and matching items; queries in smaller passes."""
+    monkeypatch.setattr(exact, "MAX_CANDIDATES", most)
     rng = np.random.default_rng(seed)
     words = np.array("red green blue cold warm tall small odd even".split())
     docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 5))) for i in range(n)], "id bigint, text string")
