@@ -173,6 +173,12 @@ def collection_view(items: DataFrame, shown: DataFrame, sort: str = "new") -> Da
     return feed_collection(items.join(shown.select("id"), "id", "left_semi"), sort)
 
 
+def collection_all(shown: DataFrame, added: DataFrame, sort: str = "new") -> DataFrame:
+    """(id, pos): every visible item by when it was added and its id, last first for `new`."""
+    by = [F.asc("added"), F.asc("id")] if sort == "old" else [F.desc("added"), F.desc("id")]
+    return global_rank(shown.select("id").join(added.select("id", "added"), "id"), [], by, "pos").select("id", "pos")
+
+
 def collection_waiting(items: DataFrame, indexed: DataFrame) -> DataFrame:
     """(cid, waiting): items put in before they were indexed."""
     absent = items.join(indexed.select("id"), "id", "left_anti").groupBy("cid").agg(F.count(F.lit(1)).alias("_n"))
@@ -234,26 +240,29 @@ def export_collections(items: DataFrame, shown: DataFrame, provenance: DataFrame
     return ordered.join(sources, "id", "left").select("cid", "pos", "id", "source_pos", *fields)
 
 
-def import_status(export: DataFrame, library: DataFrame) -> DataFrame:
-    """(cid, pos, id, status) per item of shared collections (id, size, ok): added, duplicate or skipped.
+def import_status(export: DataFrame, library: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
+    """(cid, pos, id, status) per item of shared collections (id, size, ok): added, duplicate, skipped or refused.
 
-    The first place of an item that is new counts as added, a later one as a duplicate.
+    The first place of an item that is new counts as added, a later one as a duplicate. Collections of more than
+    `max_items` are refused whole: nothing of them is added, and their places do not count.
     """
-    usable = F.coalesce(F.col("ok") & (F.col("size") <= MAX_ITEM_BYTES), F.lit(False))
-    read = export.select("cid", "pos", "id", usable.alias("_ok"))
+    usable = F.coalesce(F.col("ok") & (F.col("size") <= MAX_ITEM_BYTES), F.lit(False)) & ~F.col("refused")
+    sizes = import_sizes(export, max_items)
+    read = lookup_join(export.select("cid", "pos", "id", "size", "ok"), sizes, "cid", "items", [F.col("pos"), F.col("id")])
+    read = read.withColumn("refused", F.coalesce("refused", F.lit(False))).select("cid", "pos", "id", "refused", usable.alias("_ok"))
     first = read.groupBy("id").agg(
         F.min(F.when(F.col("_ok"), F.struct("cid", "pos"))).alias("_first"), F.count(F.lit(1)).alias("_copies"))
     have = library.select("id").distinct().withColumn("_have", F.lit(True))
     joined = lookup_join(read, first.join(have, "id", "left"), "id", "_copies", [F.col("cid"), F.col("pos")])
     again = F.col("_have").isNotNull() | (F.struct("cid", "pos") != F.col("_first"))
-    status = F.when(~F.col("_ok"), "skipped").when(again, "duplicate").otherwise("added")
+    status = F.when(F.col("refused"), "refused").when(~F.col("_ok"), "skipped").when(again, "duplicate").otherwise("added")
     return joined.select("cid", "pos", "id", status.alias("status"))
 
 
-def import_sizes(export: DataFrame) -> DataFrame:
+def import_sizes(export: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
     """(cid, items, refused): a shared collection beyond the limit is refused whole."""
     n = F.count(F.lit(1))
-    return export.groupBy("cid").agg(n.alias("items"), (n > MAX_ITEMS).alias("refused"))
+    return export.groupBy("cid").agg(n.alias("items"), (n > max_items).alias("refused"))
 
 
 def import_provenance(statuses: DataFrame, sources: DataFrame, names: DataFrame) -> DataFrame:

@@ -211,6 +211,12 @@ def collection_view(t: Tables) -> DataFrame:
     return C.collection_view(_coll(t), _shown(t), "new")
 
 
+@query("o57_collection_all", f"""
+WITH {PARTS} SELECT id, row_number() OVER (ORDER BY added DESC, id DESC) AS pos FROM shown JOIN added USING (id)""")
+def collection_all(t: Tables) -> DataFrame:
+    return C.collection_all(_shown(t), _added(t))
+
+
 @query("o57_collection_waiting", f"""
 WITH {PARTS} SELECT cid, count(*) FILTER (id NOT IN (SELECT p_partkey FROM part WHERE p_size <= 30))::BIGINT AS waiting FROM coll GROUP BY cid""")
 def collection_waiting(t: Tables) -> DataFrame:

@@ -77,6 +77,21 @@ def test_sharing(spark):
         "1": "猫（分享）", "2": "狗（分享 2）", "3": "鸟（分享）", "4": "全部（分享）", "5": "新", "6": "分享的图集", "7": "猫（分享 2）"}
 
 
+def test_a_collection_beyond_the_limit_is_refused_whole(spark):
+    rows = [("a", n, f"x{n}", 1, True) for n in range(4)] + [("b", 1, "x0", 1, True), ("b", 2, "y", 1, False), (None, 1, "z", 1, True)]
+    export = spark.createDataFrame(rows, "cid string, pos int, id string, size bigint, ok boolean")
+    none = spark.createDataFrame([], "id string")
+    got = {(r.cid, r.pos): r.status for r in C.import_status(export, none, max_items=3).collect()}
+    assert got == {**{("a", n): "refused" for n in range(4)}, ("b", 1): "added", ("b", 2): "skipped", (None, 1): "added"}
+
+
+def test_everything_as_a_collection(spark):
+    shown = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    added = spark.createDataFrame([("a", 5.0), ("b", 7.0), ("c", 5.0), ("gone", 9.0)], "id string, added double")
+    assert [r.id for r in C.collection_all(shown, added).orderBy("pos").collect()] == ["b", "c", "a"]
+    assert [r.id for r in C.collection_all(shown, added, "old").orderBy("pos").collect()] == ["a", "c", "b"]
+
+
 def test_only_suffixes_as_written_count(spark):
     taken = ["x", "x（分享 1）", "y（分享 0）", "z", "z（分享）", "z（分享 02）", "w（分享）", "v", "v（分享）", "v（分享 2）", "v（分享 4）"]
     wanted = list(enumerate(["x", "y", "z", "w", "w", "v", "v", "v", "w（分享）"]))
