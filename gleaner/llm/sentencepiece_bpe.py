@@ -1,15 +1,16 @@
 """SentencePiece BPE with seeded merge-dropout, and its lossless decoding.
 
 A word's candidate merges wait in an agenda, best score first, leftmost among equals. A keyed hash of the candidate
-decides whether it is skipped when its turn comes; what stands next to a later merge is a new candidate. Words of a
-text take one of `VARIANTS` forms by a hash of text and place, so one word is cut in several ways within a corpus,
-and the same seed gives the same pieces on every run and machine.
+decides whether it is skipped when its turn comes; what stands next to a later merge is a new candidate. The key is
+the seed, a hash of the text and the word's place in it, so every place draws anew, and the same seed gives the same
+pieces on every run and machine. Only a word's agenda without skips is remembered, and serves the places that skip none of it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 7, 2
-CACHED = 500_000  # words whose pieces a worker remembers
+DROPOUT, SEED = 0.1, 7
+VARIANTS = 0  # every place draws anew; a number holds a word to that many forms
+CACHED = 500_000  # words whose pieces and agendas a worker remembers
 SPACE = "▁"
 _NEVER = 1 << 60
 _MASK = (1 << 64) - 1
 _WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _SHORT = 64  # words of up to this many letters are worked out together
+_PLACES = 1 << 17  # places that draw together
 
 
 @dataclass
@@ -87,19 +90,53 @@ def _draws(key: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
 
 
+def _place_keys(key: int, first: int, n: int) -> np.ndarray:
+    """Keys of a text's words from place `first` on (SplitMix64)."""
+    x = (np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(key)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Agendas:
+    """Words that were met: their pieces where no merge is skipped, and the candidates that are judged on that way."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.ids: list[bytes] = []
+        self.first, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.rank, self.start, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, words: list[str], ids: list[bytes], count: np.ndarray, ranks: np.ndarray, starts: np.ndarray) -> None:
+        """`ranks` and `starts` are those of one word after the other, `count` of each."""
+        n, end = len(self.ids), self.used + len(ranks)
+        self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
+        self.ids += ids
+        while len(self.ids) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        while end > len(self.rank):
+            self.rank, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rank, self.start))
+        self.first[n:len(self.ids)] = self.used + np.cumsum(count) - count
+        self.count[n:len(self.ids)] = count
+        self.rank[self.used:end], self.start[self.used:end] = ranks, starts
+        self.used = end
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.v, self.seed, self.variants = vocabulary, seed, max(1, variants) if dropout else 1
+        self.v, self.seed, self.variants = vocabulary, seed, max(0, variants) if dropout else 1
         self.limit = int(dropout * (1 << 32))
         # per variant: the ids of a word as little-endian 32-bit numbers, and how many merges were skipped
         self.known: list[dict[str, tuple[bytes, int]]] = [{} for _ in range(self.variants)]
+        self.agendas = Agendas()
+        self.letters = {c for c in vocabulary.letters if c in vocabulary.ids}
 
     def _key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word.encode(), (self.seed * self.variants + variant) & _MASK)
+        return xxhash.xxh64_intdigest(word.encode(), (self.seed * max(1, self.variants) + variant) & _MASK)
 
     def pieces(self, word: str, variant: int = 0) -> tuple[list[str], int]:
         """The pieces of one word after its agenda is empty, and how many merges were skipped."""
-        return self._by_heap(word, self._key(word, variant))
+        return self._by_heap(word, self._key(word, variant))[:2]
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and outcome of merging symbols side by side; _NEVER where they do not merge."""
@@ -108,11 +145,13 @@ class Encoder:
         there = self.v.pairs[at] == pair
         return np.where(there, self.v.merged_rank[at], _NEVER), np.where(there, self.v.merged[at], -1)
 
-    def _together(self, words: list[str], variant: int) -> list[tuple[bytes, int]]:
-        """Words of one length whose letters are all known: a row of the matrix is the agenda of a word."""
+    def _together(self, words: list[str], key: np.ndarray | None, tried: list | None = None) -> list[tuple[bytes, int]]:
+        """Words of one length whose letters are all known: a row of the matrix is the agenda of a word.
+
+        Without keys nothing is skipped; `tried` takes (rows, ranks, places) of the candidates of every step.
+        """
         n, length = len(words), len(words[0])
         symbol = np.array(list(map(self.v.letters.__getitem__, "".join(words))), np.int64).reshape(n, length)
-        key = np.array([self._key(w, variant) for w in words], np.uint64)
         after = np.tile(np.arange(1, length + 1), (n, 1))
         before = np.tile(np.arange(-1, length - 1), (n, 1))
         agenda, outcome = np.full((n, length), _NEVER), np.full((n, length), -1)
@@ -124,7 +163,9 @@ class Encoder:
             rank = agenda[row, place]
             some = rank < _NEVER
             row, place, rank = row[some], place[some], rank[some]
-            if self.limit:
+            if tried is not None:
+                tried.append((row, rank, place))
+            if self.limit and key is not None:
                 skip = _draws(key[row], rank, place) < self.limit
                 agenda[row[skip], place[skip]] = _NEVER
                 skipped[row[skip]] += 1
@@ -150,8 +191,9 @@ class Encoder:
         start = np.concatenate([[0], end[:-1]]).tolist()
         return [(whole[a:b], s) for a, b, s in zip(start, end.tolist(), skipped.tolist(), strict=True)]
 
-    def _by_heap(self, word: str, key: int) -> tuple[list[str], int]:
-        rank, skipped = self.v.rank.get, 0
+    def _by_heap(self, word: str, key: int | None) -> tuple[list[str], int, list[tuple[int, int]]]:
+        """Pieces, number of skips and (rank, place) of every candidate; without a key nothing is skipped."""
+        rank, skipped, tried = self.v.rank.get, 0, []
         n = len(word)
         part: list[str | None] = list(word)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -169,7 +211,8 @@ class Encoder:
             right = after[k]
             if part[k] is None or len(part[k]) != left or right >= n or part[k] + part[right] != both:
                 continue  # a merge has changed it since
-            if self.limit and _draw(key, best, k) < self.limit:
+            tried.append((best, k))
+            if self.limit and key is not None and _draw(key, best, k) < self.limit:
                 skipped += 1
                 continue
             part[k], part[right] = both, None
@@ -179,31 +222,121 @@ class Encoder:
                 put(k)
             if before[k] >= 0:
                 put(before[k])
-        return [p for p in part if p is not None], skipped
+        return [p for p in part if p is not None], skipped, tried
 
     def _alone(self, word: str, variant: int) -> tuple[bytes, int]:
         pieces, skipped = self.pieces(word, variant)
+        return self._bytes(pieces), skipped
+
+    def _bytes(self, pieces: list[str]) -> bytes:
         ids: list[int] = []
         for p in pieces:
             own = self.v.ids.get(p)
             ids += [own] if own is not None else [self.v.byte_ids[b] for b in p.encode()]
-        return struct.pack(f"<{len(ids)}i", *ids), skipped
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _vectorised(self, word: str) -> bool:
+        return 1 < len(word) <= _SHORT and self.letters.issuperset(word)
 
     def _learn(self, words: set[str], variant: int) -> None:
         """Work out words that are not known yet, those of one length together."""
         known, by_length = self.known[variant], {}
         for w in words:
-            if 1 < len(w) <= _SHORT and all(c in self.v.ids for c in w):
+            if self._vectorised(w):
                 by_length.setdefault(len(w), []).append(w)
             else:
                 known[w] = self._alone(w, variant)
         for same in by_length.values():
             for cut in range(0, len(same), 1 << 13):
                 part = same[cut:cut + (1 << 13)]
-                known.update(zip(part, self._together(part, variant), strict=True))
+                key = np.array([self._key(w, variant) for w in part], np.uint64)
+                known.update(zip(part, self._together(part, key), strict=True))
+
+    def _meet(self, words: list[str]) -> None:
+        """Agendas of new words, those of one length worked out together."""
+        by_length: dict[int, list[str]] = {}
+        for w in words:
+            if self._vectorised(w):
+                by_length.setdefault(len(w), []).append(w)
+            else:
+                pieces, _, tried = self._by_heap(w, None)
+                rank, place = np.array(tried, np.int64).reshape(-1, 2).T
+                self.agendas.add([w], [self._bytes(pieces)], np.array([len(tried)]), rank, place)
+        for same in by_length.values():
+            for cut in range(0, len(same), 1 << 13):
+                part, steps = same[cut:cut + (1 << 13)], []
+                made = self._together(part, None, steps)
+                row, rank, place = (np.concatenate(x) for x in zip(*steps, strict=True))
+                order = np.argsort(row, kind="stable")  # steps of a word stay in their order
+                self.agendas.add(part, [ids for ids, _ in made], np.bincount(row, minlength=len(part)), rank[order], place[order])
+
+    def _drawn(self, words: list[str], keys: np.ndarray) -> list[tuple[bytes, int]]:
+        """Ids and skips of the words at places with these keys: every place judges its candidates by its own key."""
+        if len(self.agendas.ids) > CACHED:
+            self.agendas = Agendas()
+        at = self.agendas
+        self._meet([w for w in dict.fromkeys(words) if w not in at.numbers and len(w) <= _SHORT])
+        number = np.fromiter(map(at.numbers.get, words, itertools.repeat(-1)), np.int64, len(words))
+        differs = number < 0  # long words are worked out at every place
+        short = np.flatnonzero(~differs)
+        own = number[short]
+        count = at.count[own]
+        of = np.repeat(np.arange(len(short)), count)
+        c = np.arange(len(of)) + np.repeat(at.first[own] - np.cumsum(count) + count, count)
+        skip = _draws(keys[short][of], at.rank[c], at.start[c]) < self.limit
+        differs[short[of[skip]]] = True
+        out: list[tuple[bytes, int]] = [(at.ids[n], 0) if n >= 0 else (b"", 0) for n in number.tolist()]
+        by_length: dict[int, list[int]] = {}
+        for k in np.flatnonzero(differs).tolist():
+            if self._vectorised(words[k]):
+                by_length.setdefault(len(words[k]), []).append(k)
+            else:
+                pieces, skipped, _ = self._by_heap(words[k], int(keys[k]))
+                out[k] = self._bytes(pieces), skipped
+        for same in by_length.values():
+            for cut in range(0, len(same), 1 << 13):
+                part = same[cut:cut + (1 << 13)]
+                for k, made in zip(part, self._together([words[k] for k in part], keys[part]), strict=True):
+                    out[k] = made
+        return out
+
+    def _encode_anew(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """`encode_many` where every place draws anew."""
+        sign = struct.pack("<3i", *[self.v.byte_ids[b] for b in SPACE.encode()])
+        ids: list[list[bytes]] = [[] for _ in texts]
+        skipped = [0] * len(texts)
+        words: list[str] = []
+        keys: list[np.ndarray] = []
+        runs: list[tuple[int, int, bool]] = []  # text, its next words, whether a sign stands before them
+
+        def put() -> None:
+            done, at = self._drawn(words, np.concatenate(keys)) if words else [], 0
+            for n, size, signed in runs:
+                ids[n] += [sign] if signed else []
+                ids[n] += [d[0] for d in done[at:at + size]]
+                skipped[n] += sum([d[1] for d in done[at:at + size]])
+                at += size
+            words.clear(), keys.clear(), runs.clear()
+
+        for n, text in enumerate(texts):
+            key, place = xxhash.xxh3_64_intdigest(text.encode(), self.seed), 0
+            for k, part in enumerate(text.split(SPACE) if text else ()):  # a space sign in the text itself is told apart as bytes
+                own, first = _WORD.findall((SPACE if not k else "") + part.replace(" ", SPACE)), place
+                place += len(own)
+                for cut in range(0, max(1, len(own)), _PLACES):
+                    some = own[cut:cut + _PLACES]
+                    words += some
+                    keys.append(_place_keys(key, first + cut, len(some)))
+                    runs.append((n, len(some), bool(k) and not cut))
+                    if len(words) >= _PLACES:
+                        put()
+        put()
+        return [(b"".join(i), s) for i, s in zip(ids, skipped, strict=True)]
 
     def encode_many(self, texts: list[str]) -> list[tuple[bytes, int]]:
         """For each whole text its ids as little-endian 32-bit numbers, and how many merges were skipped."""
+        if not self.variants:
+            return self._encode_anew(texts)
         if sum(map(len, self.known)) > CACHED:
             for known in self.known:
                 known.clear()

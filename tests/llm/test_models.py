@@ -170,6 +170,44 @@ def test_agendas_of_many_words_equal_those_of_one(vocabulary, words, variant):
     assert [coder.known[variant][w] for w in words] == [coder._alone(w, variant) for w in words]
 
 
+def _cuts(coder, text, word):
+    """How often each way of cutting a text's word stands there, from the ids between its spaces."""
+    ids, cuts, own = coder.encode(text)[0], {}, []
+    for i in [*ids, None]:
+        if own and (i is None or coder.v.bytes_of[i].startswith(b" ")):
+            assert b"".join(coder.v.bytes_of[x] for x in own).strip() == word
+            cuts[tuple(own)] = cuts.get(tuple(own), 0) + 1
+            own = []
+        own.append(i)
+    return cuts
+
+
+def test_every_place_of_a_word_draws_anew(vocabulary):
+    coder, n = sentencepiece_bpe.Encoder(vocabulary), 20_000
+    text = " ".join(["something"] * n)
+    cuts = _cuts(coder, text, b"something")
+    agenda = coder._by_heap("▁something", None)[2]
+    assert sum(cuts.values()) == n and len(cuts) > 5
+    # no skip, any one of the candidates met without one, and any two of them: each at its share of the places
+    keys = sentencepiece_bpe._place_keys(5, 0, n)
+    unskipped = sum(s == 0 for _, s in coder._drawn(["▁something"] * n, keys)) / n
+    assert abs(unskipped - 0.9 ** len(agenda)) < 0.02
+    draws = [sentencepiece_bpe._draws(keys, np.full(n, r), np.full(n, k)) < coder.limit for r, k in agenda]
+    assert all(abs(d.mean() - 0.1) < 0.01 for d in draws)
+    assert all(abs((a & b).mean() - 0.01) < 0.004 for a, b in itertools.combinations(draws, 2))
+
+
+def test_remembered_agendas_equal_those_of_one(vocabulary):
+    rng = random.Random(6)
+    pool = ["".join(rng.choice("abcdefginorst日é🙂") for _ in range(rng.randrange(1, 80))) for _ in range(60)] + ["the", "something", "▁▁▁return"] * 40
+    words = [rng.choice(pool) for _ in range(3000)]
+    coder = sentencepiece_bpe.Encoder(vocabulary, 0.3)
+    for first in (0, 3000):  # the second time much is known
+        keys = sentencepiece_bpe._place_keys(99, first, len(words))
+        alone = [coder._by_heap(w, int(k)) for w, k in zip(words, keys, strict=True)]
+        assert coder._drawn(words, keys) == [(coder._bytes(p), s) for p, s, _ in alone]
+
+
 def test_encode_and_decode_tables(spark, vocabulary):
     texts = [None, "", "the same text, and the same text again " * 4, "x" * 100_000, "the same text, and the same text again " * 4]
     table = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "doc_id bigint, text string, skipped bigint")
