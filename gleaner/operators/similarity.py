@@ -212,6 +212,26 @@ def similar_groups(groups: DataFrame, tau: float, depth: int, block_rows: int =
     return top_k(found, ["gid"], [F.desc("score"), F.asc("other")], depth).drop("rank")
 
 
+def _copies(groups: DataFrame, tau: float) -> DataFrame:
+    """(gid, other = gid, score ≥ tau) of the groups with more than one member."""
+    own = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return groups.filter(F.col("n") > 1).select(
+        "gid", F.col("gid").alias("other"), F.round(own, SCORE_DIGITS).alias("score")).filter(F.col("score") >= tau)
+
+
+def similar_pairs(vectors: DataFrame, tau: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, other, score ≥ tau): every ordered pair of ids, copies of one vector included.
+
+    Equal vectors are multiplied once; their ids are put in afterwards, so there are as many rows as pairs.
+    """
+    groups = cut_lineage(distinct_vectors(vectors))
+    members = cut_lineage(vectors.join(groups.select("vec", "gid"), "vec").select("id", "gid"))
+    near = similar_groups(groups, tau, (1 << 31) - 1, block_rows).unionByName(_copies(groups, tau))
+    others = members.select(F.col("gid").alias("other"), F.col("id").alias("_other"))
+    both = near.join(members, "gid").join(others, "other").filter(F.col("id") != F.col("_other"))
+    return both.select("id", F.col("_other").alias("other"), "score")
+
+
 def route_similar(vectors: DataFrame, tau: float, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, similar, score ≥ tau): the best `k` others of every id on one route, ties by id.
 
@@ -224,11 +244,7 @@ def route_similar(vectors: DataFrame, tau: float, k: int, block_rows: int = BLOC
     firsts = firsts.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.min("id").alias("gid"))
     firsts = firsts.select(F.col("gid").alias("other"), "ids")
     near = similar_groups(groups, tau, k + 1, block_rows)
-    itself = groups.filter(F.col("n") > 1).select(
-        "gid", F.col("gid").alias("other"),
-        F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), SCORE_DIGITS).alias("score"),
-    ).filter(F.col("score") >= tau)
-    listed = near.unionByName(itself).join(firsts, "other").select("gid", "score", F.explode("ids").alias("similar"))
+    listed = near.unionByName(_copies(groups, tau)).join(firsts, "other").select("gid", "score", F.explode("ids").alias("similar"))
     listed = top_k(listed, ["gid"], [F.desc("score"), F.asc("similar")], k + 1)
     lists = listed.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("rank", "similar", "score"))).alias("best"))
     # one row per distinct vector goes to each of its copies; adaptive execution splits a group of many copies

@@ -168,9 +168,8 @@ WITH pairs AS (
   FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
 SELECT id, other, round(score, 6) AS score FROM pairs WHERE score >= 0.35""")
 def vector_join(t: Tables) -> DataFrame:
-    """The join alone: all pairs of distinct vectors at or above a similarity."""
-    groups = similarity.distinct_vectors(t.vectors().select("id", "vec"))
-    return similarity.similar_groups(groups, 0.35, (1 << 31) - 1).select(F.col("gid").alias("id"), "other", *six("score"))
+    """The join alone: all pairs of vectors at or above a similarity, copies with each other too."""
+    return similarity.similar_pairs(t.vectors().select("id", "vec"), 0.35).select("id", "other", *six("score"))
 
 
 @query("o41_rank_all", f"""

@@ -1,11 +1,13 @@
 """Vector ranking and similarity against plain matrices."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import similarity as S
 from gleaner.operators import vectors as V
+from tests.oracle import check
 
 
 def _unit(m):
@@ -115,3 +117,19 @@ def test_pairs_are_counted_once(spark, clustered, block, monkeypatch):
     assert got == want
     got = {(r.side, r.bin, r.same): r.pairs for r in S.pair_histogram(items, edges, side="side", block_rows=block).collect()}
     assert got == sided
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_all_pairs_hold_copies(spark, clustered, block):
+    got = {(r.id, r.other): r.score for r in S.similar_pairs(_frame(spark, clustered), 0.8, block_rows=block).collect()}
+    s = _scores(clustered, clustered)
+    assert got == {(i, j): s[i, j] for i in range(len(s)) for j in range(len(s)) if i != j and s[i, j] >= 0.8}
+
+
+def test_vector_join_equals_its_sql_on_copies(spark, clustered, tmp_path):
+    rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(clustered)]
+    rows += [(1000 + k, [0.1] * 8, 0) for k in range(3)]  # copies too short to reach the similarity
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert check(spark, con, "o28_vector_join", str(tmp_path)) is None
