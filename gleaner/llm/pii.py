@@ -203,18 +203,44 @@ _PSEUDONYM = {name: make for name, _, make in FORMS}
 _HINT = r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api_?key)"
 
 
+#: What may end a value within a match that ran on into the text behind it.
+_RUNS_ON = {"iban": " ", "card": " -", "phone": " .-"}
+_ALONE = {name: re.compile(form, re.ASCII) for name, form, _ in FORMS}
+_ORDER = [name for name, _, _ in FORMS]
+
+
+def _valid(m: re.Match, key: bytes, back: bool) -> tuple[str, int, str | None]:
+    """Kind, end and pseudonym of the valid value that begins where `m` does.
+
+    A match that fails its check is shortened to the separators in it, longest first; then the later kinds are tried.
+    """
+    text, start = m.string, m.start()
+    for kind in _ORDER[_ORDER.index(m.lastgroup):]:
+        form, make = _ALONE[kind], _PSEUDONYM[kind]
+        if not (found := form.match(text, start)):
+            continue
+        ends = [k for k in range(found.end() - 1, start, -1) if text[k] in _RUNS_ON.get(kind, "")]
+        for end in [found.end(), *ends]:
+            if end == found.end() or form.fullmatch(text, start, end):
+                new = make(text[start:end], key, back)
+                if new is not None:
+                    return kind, end, new
+    return m.lastgroup, m.end(), None
+
+
 def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with every valid value replaced, and the places: (kind, start, end in the text, new value)."""
     found: list[tuple[str, int, int, str]] = []
-
-    def put(m: re.Match) -> str:
-        new = _PSEUDONYM[m.lastgroup](m.group(), key, back)
+    out, done, at = [], 0, 0
+    while m := _ANY.search(text, at):
+        kind, end, new = _valid(m, key, back)
         if new is None:
-            return m.group()
-        found.append((m.lastgroup, m.start(), m.end(), new))
-        return new
-
-    return _ANY.sub(put, text), found
+            at = m.start() + 1
+            continue
+        found.append((kind, m.start(), end, new))
+        out += [text[done:m.start()], new]
+        done = at = end
+    return "".join(out) + text[done:], found
 
 
 def redact(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
