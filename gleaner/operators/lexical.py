@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -79,3 +79,38 @@ def score_hits(wanted: DataFrame, hits: DataFrame, weights: DataFrame, size: Dat
 def lexical_score(queries: DataFrame, docs: DataFrame, script_map: dict[str, str] | None = None) -> DataFrame:
     """(query, id, share): 1.0 is all of the query's wording; documents with none of it are absent."""
     return score_postings(queries, document_grams(docs, script_map), corpus_size(docs), script_map)
+
+
+SEEDS = (16, 4, 1, 0)  # characters of a passage that a text is first looked up by: as many as the passage has
+
+
+def _runs(k: int) -> Column:
+    """All runs of `k` characters of `text`."""
+    if not k:
+        return F.array(F.lit(""))
+    # the characters are bound by the outer function, so that they are split once a text
+    return F.transform(F.array(F.split("text", "")), lambda c: F.transform(
+        F.sequence(F.lit(1), F.size(c) - (k - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(k)), "")))[0]
+
+
+def verbatim(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query, id) of the documents that hold a query's text as it stands.
+
+    Whatever holds a passage holds the characters in its middle, so these are looked up among the runs of equal
+    length of all documents, and only documents that have them are searched for the whole passage.
+    """
+    n = F.length("text")
+    length = F.coalesce(*[F.when(n >= k, k) for k in SEEDS])
+    passages = queries.filter(F.col("text").isNotNull()).select(QUERY, F.col("text").alias("_q"), length.alias("_n"), n.alias("_len"))
+    middle = F.substring("_q", F.expr("(_len - _n) div 2 + 1").cast("int"), F.col("_n"))
+    passages = passages.select(QUERY, "_q", "_n", middle.alias("_seed"))
+    held = None
+    for k in sorted(r["_n"] for r in passages.select("_n").distinct().collect()):  # four at most
+        wanted = passages.filter(F.col("_n") == k).select("_seed").distinct()
+        some = docs.filter(n >= k).select(ITEM, F.explode(F.array_distinct(_runs(k))).alias("_seed"))
+        some = some.join(wanted, "_seed", "left_semi").withColumn("_n", F.lit(k))
+        held = some if held is None else held.unionByName(some)
+    if held is None:
+        return queries.select(QUERY).crossJoin(docs.select(ITEM)).limit(0)
+    found = passages.join(held, ["_n", "_seed"]).join(docs.select(ITEM, "text"), ITEM)
+    return found.filter(F.contains("text", F.col("_q"))).select(QUERY, ITEM)

@@ -71,12 +71,10 @@ QUOTED = "qrels AS (SELECT b.item_id AS query, d.doc_id AS relevant FROM benchma
 
 
 def _quoted(t: Tables) -> DataFrame:
-    """Documents holding a question's text verbatim: found by wording first, so no text meets every question."""
-    from gleaner.operators.lexical import lexical_score
+    """Documents holding a question's text verbatim: found by its characters first, so no text meets every question."""
+    from gleaner.operators.lexical import verbatim
 
-    full = lexical_score(t.questions(), t.docs()).filter(F.col("share") >= 0.5).select("query", "id")
-    texts = full.join(t.questions().withColumnRenamed("text", "_q"), "query").join(t.docs(), "id")
-    return texts.filter(F.contains("text", F.col("_q"))).select("query", F.col("id").alias("relevant"))
+    return verbatim(t.questions(), t.docs()).select("query", F.col("id").alias("relevant"))
 
 
 @query("o46_match_quality", f"""

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators import exact, fusion, lexical
+from gleaner.plans import evaluation
+from gleaner.plans.registry import Tables
 
 DOCS = {"a": "下雨的日子想出海", "b": "出海的日子想回家", "c": "他的船", "d": "他的桨"}
 
@@ -112,3 +114,15 @@ def test_looking_at_the_first_places_only_gives_the_same_search(spark, seed, n,
     got = exact.split_top(queries, docs, routes, 5, hidden, match_threshold=threshold)
     want = fusion.split_search(fusion.hits(rankings), 5, hidden, threshold)
     assert rows(got, cols) == rows(want, cols)
+
+
+def test_passages_are_found_within_words(spark, tmp_path):
+    texts = {0: "within sides of one", 1: "a passage of no more than these few words, and some", 2: "日本語の文章です🙂!", 3: "", 4: None, 5: "x"}
+    asked = {0: "in sid", 1: "age of no more than these few wor", 2: "本語", 3: "文章です🙂", 4: "absent words", 5: "x", 6: None, 7: "a passage of no less than these", 8: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(asked.items()), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = [(r.query, r.relevant) for r in evaluation._quoted(Tables(spark, str(tmp_path))).collect()]
+    want = {(q, d) for q, p in asked.items() for d, t in texts.items() if p is not None and t is not None and p in t}
+    assert len(found) == len(want) and set(found) == want
+    none = spark.createDataFrame([], "query bigint, text string")
+    assert lexical.verbatim(none, spark.createDataFrame([(1, "a")], "id bigint, text string")).count() == 0
