@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import embeddings, exactdedup, langid, licences, linededup, packing, pii, sentencepiece_bpe, simhash, toxicity
+from gleaner.llm import (
+    alignment, embeddings, exactdedup, fingerprints, langid, licences, linededup, packing, pii, ranking, sentencepiece_bpe, simhash,
+    toxicity,
+)
 from gleaner.llm.common import query, share_of, table
 from gleaner.session import scratch
 
@@ -87,3 +90,27 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """How every document is cut with merge-dropout, and whether its ids decode to its text."""
     return sentencepiece_bpe.encode_digest(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op11_fingerprints", fingerprints.FINGERPRINT_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint of every whole text and of its edited text, and how alike they and the next document's are."""
+    found = fingerprints.edited(fingerprints.with_next(table(spark, folder, "documents")))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("sketch", "").alias("fingerprint"), F.array_join("edited_sketch", "").alias("edited_fingerprint"),
+        fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+@query("op12_ranked_search", ranking.RANK_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 documents of highest score for every benchmark item."""
+    return ranking.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between two tokenizers' cuts of every whole text, links counted over the corpus."""
+    return alignment.link_counts(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")

@@ -12,6 +12,7 @@ COLUMNS = {
     "op5_toxicity": ("documents", ["doc_id", "held_out", "score", "predicted"]),
     "op7_language": ("documents", ["doc_id", "held_out", "lang_pred", "score"]),
     "op10_sentencepiece": ("documents", ["doc_id", "n_tokens", "skipped", "ids_sha256", "lossless"]),
+    "op13_token_alignment": ("documents", ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "n_links", "n_best", "count_sum"]),
 }
 
 
@@ -34,4 +35,4 @@ def test_query_has_every_row(spark, name):
 
 
 def test_all_operators_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 11)) and "pipeline" in QUERIES
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n != "pipeline"} == set(range(1, 14)) and "pipeline" in QUERIES
