@@ -16,30 +16,33 @@ from gleaner.llm.common import ascii_lower
 from gleaner.session import cut_lineage, take_bounded
 
 K, SHINGLE = 128, 5
-RANGE_BYTES = 8 << 20  # of text that one range of the order holds, as long as MAX_RANGES allow
+RANGE_BYTES = 4 << 20  # of text that one range of the order holds, as long as MAX_RANGES allow
 MAX_RANGES = 1 << 16  # keys of 16 bytes that are collected and sent to the tasks
 _HEX = 13  # hex digits a double takes whole
 
 
-def words_of(text: Column) -> Column:
-    """Runs of anything but ASCII white space, A-Z lower-cased; null has none."""
-    return F.array_remove(F.split(ascii_lower(text), r"[\x20\x09-\x0D]+"), "")
+def normal_text(text: Column) -> Column:
+    """The words of a text, that is its runs of anything but ASCII white space, with single spaces and A-Z lower-cased."""
+    return F.btrim(F.regexp_replace(ascii_lower(text), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
 
 
-def sketch_of(words: Column, k: int = K, shingle: int = SHINGLE) -> Column:
-    """The sketch of a column of words. Fewer words than a shingle has are one shingle, no words give no hash."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - shingle, F.lit(0)))
+def shingles_of(normal: Column, size: int = SHINGLE) -> Column:
+    """Every run of `size` words, once for each place; fewer words than that are one shingle, no words give none."""
+    run = rf"(?:^| )(?=((?:[^ ]++ ){{{size - 1}}}[^ ]++))"  # looks ahead from before each word
+    found = F.regexp_extract_all(normal, F.lit(run), F.lit(1))
+    return F.when(normal == "", F.lit([]).cast("array<string>")).when(F.size(found) == 0, F.array(normal)).otherwise(found)
 
-    def hashed(i: Column) -> Column:  # single words are looked up: slicing would copy all of them at every place
-        return F.substring(F.md5(F.concat_ws(" ", *[F.get(words, i + j) for j in range(shingle)])), 1, 16)
 
-    least = F.slice(F.sort_array(F.array_distinct(F.transform(starts, hashed))), 1, k)
-    return F.when(F.size(words) > 0, least).otherwise(F.lit([]).cast("array<string>"))
+def sketch_of(shingles: Column, k: int = K) -> Column:
+    """The k least distinct hashes, of which the first 64 bits are kept."""
+    least = F.slice(F.sort_array(F.array_distinct(F.transform(shingles, F.md5))), 1, k)
+    return F.transform(least, lambda h: F.substring(h, 1, 16))
 
 
 def with_sketch(rows: DataFrame, text: str, out: str, k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """`rows` with the sketch of the whole text as `out`."""
-    return rows.withColumn("_words", words_of(F.col(text))).withColumn(out, sketch_of(F.col("_words"), k, shingle)).drop("_words")
+    rows = rows.withColumn("_normal", normal_text(F.col(text))).withColumn("_shingles", shingles_of(F.col("_normal"), shingle))
+    return rows.withColumn(out, sketch_of(F.col("_shingles"), k)).drop("_normal", "_shingles")
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -136,8 +139,8 @@ e AS (SELECT doc_id, length(text) AS n_chars, text, following,
   substring(text, 1, length(text) - length(text) // 2) || substring(following, 1, length(text) // 2) AS edited FROM n),
 t AS (SELECT DISTINCT x AS text FROM (SELECT text AS x FROM e UNION ALL SELECT edited FROM e)),
 w AS (SELECT text, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
-s AS (SELECT text, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1),
-  lambda i: substr(md5(array_to_string(w[i:i + {SHINGLE - 1}], ' ')), 1, 16))))[1:{K}] END AS s FROM w),
+s AS (SELECT text, CASE WHEN len(w) = 0 THEN [] ELSE list_transform(list_sort(list_distinct(list_transform(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1),
+  lambda i: md5(array_to_string(w[i:i + {SHINGLE - 1}], ' ')))))[1:{K}], lambda h: substr(h, 1, 16)) END AS s FROM w),
 j AS (SELECT e.*, a.s AS a, b.s AS b, c.s AS c FROM e JOIN s a ON a.text = e.text JOIN s b ON b.text = e.edited JOIN s c ON c.text = e.following),
 u AS (SELECT *, list_sort(list_distinct(list_concat(a, b)))[1:{K}] AS ab, list_sort(list_distinct(list_concat(a, c)))[1:{K}] AS ac FROM j)
 SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
