@@ -25,13 +25,14 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 7
-VARIANTS = 0  # every place draws anew; a number holds a word to that many forms
 CACHED = 500_000  # words whose pieces and agendas a worker remembers
 SPACE = "▁"
-_NEVER = 1 << 60
+_NEVER = (1 << 31) - 1
 _MASK = (1 << 64) - 1
 _WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 _SHORT = 64  # words of up to this many letters are worked out together
+_WIDTHS = np.array([4, 6, 8, 10, 12, 14, 17, 21, 26, 34, 46, _SHORT])  # with others that fit the same width
+_PAD = (1 << 31) - 1  # a symbol that merges with none
 _PLACES = 1 << 17  # places that draw together
 
 
@@ -104,14 +105,16 @@ class Agendas:
     def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
         self.ids: list[bytes] = []
+        self.fast: list[bool] = []  # whether the word is worked out together with others
         self.first, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
-        self.rank, self.start, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.rank, self.start, self.used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int16), 0
 
-    def add(self, words: list[str], ids: list[bytes], count: np.ndarray, ranks: np.ndarray, starts: np.ndarray) -> None:
+    def add(self, words: list[str], fast: bool, ids: list[bytes], count: np.ndarray, ranks: np.ndarray, starts: np.ndarray) -> None:
         """`ranks` and `starts` are those of one word after the other, `count` of each."""
         n, end = len(self.ids), self.used + len(ranks)
         self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
         self.ids += ids
+        self.fast += [fast] * len(words)
         while len(self.ids) > len(self.first):
             self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
         while end > len(self.rank):
@@ -123,43 +126,37 @@ class Agendas:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
-        self.v, self.seed, self.variants = vocabulary, seed, max(0, variants) if dropout else 1
+    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
+        self.v, self.seed = vocabulary, seed
         self.limit = int(dropout * (1 << 32))
-        # per variant: the ids of a word as little-endian 32-bit numbers, and how many merges were skipped
-        self.known: list[dict[str, tuple[bytes, int]]] = [{} for _ in range(self.variants)]
         self.agendas = Agendas()
         self.letters = {c for c in vocabulary.letters if c in vocabulary.ids}
 
-    def _key(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word.encode(), (self.seed * max(1, self.variants) + variant) & _MASK)
-
-    def pieces(self, word: str, variant: int = 0) -> tuple[list[str], int]:
-        """The pieces of one word after its agenda is empty, and how many merges were skipped."""
-        return self._by_heap(word, self._key(word, variant))[:2]
-
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and outcome of merging symbols side by side; _NEVER where they do not merge."""
         pair = (left << 32) | right
-        at = np.minimum(np.searchsorted(self.v.pairs, pair), len(self.v.pairs) - 1)
+        at = np.searchsorted(self.v.pairs[:-1], pair)
         there = self.v.pairs[at] == pair
         return np.where(there, self.v.merged_rank[at], _NEVER), np.where(there, self.v.merged[at], -1)
 
     def _together(self, words: list[str], key: np.ndarray | None, tried: list | None = None) -> list[tuple[bytes, int]]:
-        """Words of one length whose letters are all known: a row of the matrix is the agenda of a word.
+        """Words whose letters are all known: a row of the matrix is the agenda of a word, filled up at its end.
 
         Without keys nothing is skipped; `tried` takes (rows, ranks, places) of the candidates of every step.
         """
-        n, length = len(words), len(words[0])
-        symbol = np.array(list(map(self.v.letters.__getitem__, "".join(words))), np.int64).reshape(n, length)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        n, length = len(words), int(size.max())
+        alive = np.arange(length) < size[:, None]
+        symbol = np.full((n, length), _PAD)
+        symbol[alive] = np.fromiter(map(self.v.letters.__getitem__, "".join(words)), np.int64, int(size.sum()))
         after = np.tile(np.arange(1, length + 1), (n, 1))
         before = np.tile(np.arange(-1, length - 1), (n, 1))
-        agenda, outcome = np.full((n, length), _NEVER), np.full((n, length), -1)
+        agenda, outcome = np.full((n, length), _NEVER, np.int32), np.full((n, length), -1)
         agenda[:, :-1], outcome[:, :-1] = self._ranks(symbol[:, :-1], symbol[:, 1:])
-        alive, skipped = np.ones((n, length), bool), np.zeros(n, np.int64)
+        skipped = np.zeros(n, np.int64)
         row = np.arange(n)
         while len(row):
-            place = agenda[row].argmin(axis=1)  # the leftmost of the best
+            place = (agenda if len(row) == n else agenda[row]).argmin(axis=1)  # the leftmost of the best
             rank = agenda[row, place]
             some = rank < _NEVER
             row, place, rank = row[some], place[some], rank[some]
@@ -212,7 +209,7 @@ class Encoder:
             if part[k] is None or len(part[k]) != left or right >= n or part[k] + part[right] != both:
                 continue  # a merge has changed it since
             tried.append((best, k))
-            if self.limit and key is not None and _draw(key, best, k) < self.limit:
+            if key is not None and _draw(key, best, k) < self.limit:
                 skipped += 1
                 continue
             part[k], part[right] = both, None
@@ -224,10 +221,6 @@ class Encoder:
                 put(before[k])
         return [p for p in part if p is not None], skipped, tried
 
-    def _alone(self, word: str, variant: int) -> tuple[bytes, int]:
-        pieces, skipped = self.pieces(word, variant)
-        return self._bytes(pieces), skipped
-
     def _bytes(self, pieces: list[str]) -> bytes:
         ids: list[int] = []
         for p in pieces:
@@ -238,37 +231,29 @@ class Encoder:
     def _vectorised(self, word: str) -> bool:
         return 1 < len(word) <= _SHORT and self.letters.issuperset(word)
 
-    def _learn(self, words: set[str], variant: int) -> None:
-        """Work out words that are not known yet, those of one length together."""
-        known, by_length = self.known[variant], {}
-        for w in words:
-            if self._vectorised(w):
-                by_length.setdefault(len(w), []).append(w)
-            else:
-                known[w] = self._alone(w, variant)
-        for same in by_length.values():
-            for cut in range(0, len(same), 1 << 13):
-                part = same[cut:cut + (1 << 13)]
-                key = np.array([self._key(w, variant) for w in part], np.uint64)
-                known.update(zip(part, self._together(part, key), strict=True))
+    def _alike(self, words: list[str], places: list[int]) -> Iterator[list[int]]:
+        """The places in parts that are worked out together, words of like length in each."""
+        width = np.searchsorted(_WIDTHS, np.fromiter((len(words[k]) for k in places), np.int64, len(places)))
+        order = np.argsort(width, kind="stable")
+        width, places = width[order], np.array(places, np.int64)[order]
+        for same in np.split(places, np.flatnonzero(np.diff(width)) + 1):
+            yield from (same[cut:cut + (1 << 13)].tolist() for cut in range(0, len(same), 1 << 13))
 
     def _meet(self, words: list[str]) -> None:
-        """Agendas of new words, those of one length worked out together."""
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            if self._vectorised(w):
-                by_length.setdefault(len(w), []).append(w)
-            else:
-                pieces, _, tried = self._by_heap(w, None)
-                rank, place = np.array(tried, np.int64).reshape(-1, 2).T
-                self.agendas.add([w], [self._bytes(pieces)], np.array([len(tried)]), rank, place)
-        for same in by_length.values():
-            for cut in range(0, len(same), 1 << 13):
-                part, steps = same[cut:cut + (1 << 13)], []
-                made = self._together(part, None, steps)
-                row, rank, place = (np.concatenate(x) for x in zip(*steps, strict=True))
-                order = np.argsort(row, kind="stable")  # steps of a word stay in their order
-                self.agendas.add(part, [ids for ids, _ in made], np.bincount(row, minlength=len(part)), rank[order], place[order])
+        """Agendas of new words, those of like length worked out together."""
+        fast = [self._vectorised(w) for w in words]
+        for w in itertools.compress(words, [not x for x in fast]):
+            pieces, _, tried = self._by_heap(w, None)
+            rank, place = np.array(tried, np.int64).reshape(-1, 2).T
+            self.agendas.add([w], False, [self._bytes(pieces)], np.array([len(tried)]), rank, place)
+        for part in self._alike(words, [k for k, x in enumerate(fast) if x]):
+            if not part:
+                continue
+            own, steps = [words[k] for k in part], []
+            made = self._together(own, None, steps)
+            row, rank, place = (np.concatenate(x) for x in zip(*steps, strict=True))
+            order = np.argsort(row, kind="stable")  # steps of a word stay in their order
+            self.agendas.add(own, True, [ids for ids, _ in made], np.bincount(row, minlength=len(own)), rank[order], place[order])
 
     def _drawn(self, words: list[str], keys: np.ndarray) -> list[tuple[bytes, int]]:
         """Ids and skips of the words at places with these keys: every place judges its candidates by its own key."""
@@ -281,27 +266,24 @@ class Encoder:
         short = np.flatnonzero(~differs)
         own = number[short]
         count = at.count[own]
-        of = np.repeat(np.arange(len(short)), count)
-        c = np.arange(len(of)) + np.repeat(at.first[own] - np.cumsum(count) + count, count)
-        skip = _draws(keys[short][of], at.rank[c], at.start[c]) < self.limit
-        differs[short[of[skip]]] = True
+        c = np.arange(int(count.sum())) + np.repeat(at.first[own] - np.cumsum(count) + count, count)
+        skip = np.flatnonzero(_draws(np.repeat(keys[short], count), at.rank[c], at.start[c]) < self.limit)
+        differs[short[np.searchsorted(np.cumsum(count), skip, side="right")]] = True
         out: list[tuple[bytes, int]] = [(at.ids[n], 0) if n >= 0 else (b"", 0) for n in number.tolist()]
-        by_length: dict[int, list[int]] = {}
+        together: list[int] = []
         for k in np.flatnonzero(differs).tolist():
-            if self._vectorised(words[k]):
-                by_length.setdefault(len(words[k]), []).append(k)
+            if number[k] >= 0 and at.fast[number[k]]:
+                together.append(k)
             else:
                 pieces, skipped, _ = self._by_heap(words[k], int(keys[k]))
                 out[k] = self._bytes(pieces), skipped
-        for same in by_length.values():
-            for cut in range(0, len(same), 1 << 13):
-                part = same[cut:cut + (1 << 13)]
-                for k, made in zip(part, self._together([words[k] for k in part], keys[part]), strict=True):
-                    out[k] = made
+        for part in self._alike(words, together):
+            for k, made in zip(part, self._together([words[k] for k in part], keys[part]) if part else (), strict=True):
+                out[k] = made
         return out
 
-    def _encode_anew(self, texts: list[str]) -> list[tuple[bytes, int]]:
-        """`encode_many` where every place draws anew."""
+    def encode_many(self, texts: list[str]) -> list[tuple[bytes, int]]:
+        """For each whole text its ids as little-endian 32-bit numbers, and how many merges were skipped."""
         sign = struct.pack("<3i", *[self.v.byte_ids[b] for b in SPACE.encode()])
         ids: list[list[bytes]] = [[] for _ in texts]
         skipped = [0] * len(texts)
@@ -333,40 +315,6 @@ class Encoder:
         put()
         return [(b"".join(i), s) for i, s in zip(ids, skipped, strict=True)]
 
-    def encode_many(self, texts: list[str]) -> list[tuple[bytes, int]]:
-        """For each whole text its ids as little-endian 32-bit numbers, and how many merges were skipped."""
-        if not self.variants:
-            return self._encode_anew(texts)
-        if sum(map(len, self.known)) > CACHED:
-            for known in self.known:
-                known.clear()
-        cut, missing = [], [set() for _ in self.known]
-        for text in texts:
-            key, parts, place = xxhash.xxh3_64_intdigest(text.encode(), self.seed), [], 0
-            for k, part in enumerate(text.split(SPACE) if text else ()):  # a space sign in the text itself is told apart as bytes
-                words = _WORD.findall((SPACE if not k else "") + part.replace(" ", SPACE))
-                if self.variants > 1:
-                    mixed = (np.arange(place, place + len(words), dtype=np.uint64) + np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
-                    which = ((mixed >> np.uint64(33)) % np.uint64(self.variants)).tolist()
-                else:
-                    which = [0] * len(words)
-                place += len(words)
-                parts.append((words, which))
-                known = self.known
-                for w, v in [p for p in zip(words, which, strict=True) if p[0] not in known[p[1]]]:
-                    missing[v].add(w)
-            cut.append(parts)
-        for v, words in enumerate(missing):
-            self._learn(words, v)
-        sign = [(struct.pack("<3i", *[self.v.byte_ids[b] for b in SPACE.encode()]), 0)]
-        out = []
-        for parts in cut:
-            found: list[tuple[bytes, int]] = []
-            for k, (words, which) in enumerate(parts):
-                found += (sign if k else []) + [known[v][w] for w, v in zip(words, which, strict=True)]
-            out.append((b"".join([f[0] for f in found]), sum([f[1] for f in found])))
-        return out
-
     def encode(self, text: str) -> tuple[list[int], int]:
         """Ids of a whole text, and how many merges were skipped."""
         ids, skipped = self.encode_many([text])[0]
@@ -378,25 +326,25 @@ class Encoder:
 
 
 def encode(
-    docs: DataFrame, text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS,
+    docs: DataFrame, text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,
 ) -> DataFrame:
     """`docs` with ids (array of int) and skipped (merges left out).
 
     The whole text is encoded. A null text has null ids, an empty one none. Equal texts get equal ids for one seed;
     another seed cuts them otherwise. Columns of these names are replaced.
     """
-    return _coded(docs, text, model, dropout, seed, variants, digest=False)
+    return _coded(docs, text, model, dropout, seed, digest=False)
 
 
 def encode_digest(
-    docs: DataFrame, text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS,
+    docs: DataFrame, text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,
 ) -> DataFrame:
     """`docs` with n_tokens, skipped, ids_sha256 (of the ids as little-endian 32-bit numbers) and lossless: whether the
     ids decode to the text. Ids are made and read back where the text is, and do not travel. Null counts as empty."""
-    return _coded(docs, text, model, dropout, seed, variants, digest=True)
+    return _coded(docs, text, model, dropout, seed, digest=True)
 
 
-def _coded(docs: DataFrame, text: str, model: str, dropout: float, seed: int, variants: int, digest: bool) -> DataFrame:
+def _coded(docs: DataFrame, text: str, model: str, dropout: float, seed: int, digest: bool) -> DataFrame:
     made = {"n_tokens": pa.int64(), "skipped": pa.int64(), "ids_sha256": pa.string(), "lossless": pa.bool_()} if digest else {
         "ids": pa.list_(pa.int32()), "skipped": pa.int64()}
     docs = docs.drop(*[c for c in made if c != text])
@@ -404,7 +352,7 @@ def _coded(docs: DataFrame, text: str, model: str, dropout: float, seed: int, va
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(shared.value, dropout, seed, variants)
+        coder = Encoder(shared.value, dropout, seed)
         for whole in batches:
             for cut in range(0, whole.num_rows, 200):
                 batch = whole.slice(cut, 200)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 import numpy as np
@@ -55,7 +55,7 @@ def tokens_of(text: str) -> set[str]:
     """The distinct tokens of a whole text, lower-cased, and words written with spaces between their letters."""
     lower = text.lower()
     found = set(lower.split())
-    if sum(len(t) == 1 for t in found) > 2:
+    if any(len(t) == 1 for t in found):
         found.update("".join(m.split()) for m in _SPACED.findall(lower))
     return found
 
@@ -77,8 +77,8 @@ class Model:
         out = np.zeros((len(words), self.weights.shape[1]), np.float32)
         for length, at in _by_length(words).items():
             places, weights, norm = _places(length + 2)
-            for cut in range(0, len(at), max(1, 40_000 // len(places))):
-                part = at[cut:cut + max(1, 40_000 // len(places))]
+            for cut in range(0, len(at), max(1, 20_000 // len(places))):
+                part = at[cut:cut + max(1, 20_000 // len(places))]
                 codes = _codes([words[k] for k in part], length)
                 rows = self.rows[_triples(codes, places)]
                 hit_word, hit_place = np.nonzero(rows)  # most subsequences are in no landmark
@@ -102,6 +102,16 @@ class Model:
                 out[part] += self.summed[triples] @ weights / norm
         return out
 
+    @property
+    def learned(self) -> bool:
+        """Whether scores differ between texts at all."""
+        return self.line.size > 0
+
+    def slim(self) -> Model:
+        """What scoring needs, without the landmarks."""
+        self.distances([])
+        return replace(self, rows=np.zeros(0, np.int32), weights=np.zeros((0, 0), np.float32))
+
     def probability(self, distance: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * distance + self.shift, -30, 30)))
 
@@ -133,19 +143,22 @@ def _triples(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def with_landmarks(words: list[str]) -> Model:
-    held: dict[int, np.ndarray] = {}
-    for k, w in enumerate(words):
+    place: dict[int, int] = {}
+    entries: list[tuple[np.ndarray, np.ndarray]] = []
+    for w in words:
         places, weights, norm = _places(len(w) + 2)
-        for code, weight in zip(_triples(_codes([w], len(w)), places)[0].tolist(), weights, strict=True):
-            held.setdefault(code, np.zeros(len(words), np.float32))[k] += weight / norm
+        codes = _triples(_codes([w], len(w)), places)[0].tolist()
+        entries.append((np.array([place.setdefault(c, len(place) + 1) for c in codes], np.int64), weights / norm))
     rows = np.zeros(_LETTERS**3, np.int32)
-    rows[list(held)] = np.arange(1, len(held) + 1)
-    return Model(rows, np.vstack([np.zeros((1, len(words)), np.float32), *held.values()]))
+    rows[list(place)] = list(place.values())
+    held = np.zeros((len(place) + 1, len(words)), np.float32)
+    for k, (at, weights) in enumerate(entries):
+        np.add.at(held[:, k], at, weights)
+    return Model(rows, held)
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 4.0) -> tuple[np.ndarray, float]:
-    """The line of an SVM with squared hinge loss, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """The line of an SVM with squared hinge loss, by Newton steps; the last column of `x` is 1."""
     ridge = np.diag([1.0] * (x.shape[1] - 1) + [1e-3])
     line = np.zeros(x.shape[1])
 
@@ -154,9 +167,14 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float
 
     now = loss(line)
     for _ in range(100):
-        active = y * (x @ line) < 1
-        xa, wa = x[active], cost * weight[active]
-        step = np.linalg.solve(ridge + (xa * wa[:, None]).T @ xa, (xa * wa[:, None]).T @ y[active]) - line
+        active = np.flatnonzero(y * (x @ line) < 1)
+        curve, pull = ridge.copy(), np.zeros(x.shape[1])
+        for cut in range(0, len(active), 2048):  # a block of rows at a time, so that `x` is not held again
+            part = active[cut:cut + 2048]
+            weighted = x[part] * (cost * weight[part])[:, None]
+            curve += weighted.T @ x[part]
+            pull += weighted.T @ y[part]
+        step = np.linalg.solve(curve, pull) - line
         size = 1.0
         while (after := loss(line + size * step)) > now and size > 1e-4:
             size /= 2
@@ -181,48 +199,56 @@ def _platt(distance: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple
     return float(max(at[0], 0.0)), float(at[1])
 
 
-def _apart(texts: list[str]) -> list[int]:
-    """One of each group of copies and near copies, told by the two long tokens of least hash: a word that copies of
-    one toxic text share is no sign of toxicity."""
+def _apart(texts: list[str], labels: list[int]) -> list[int]:
+    """One of each group of copies and near copies of one label, told by the two long tokens of least hash: a word
+    that copies of one toxic text share is no sign of toxicity."""
     first: dict[tuple, int] = {}
-    for k, t in enumerate(texts):
+    for k, (t, y) in enumerate(zip(texts, labels, strict=True)):
         tokens = t.lower().split()
         long = sorted({xxhash.xxh3_64_intdigest(w.encode()) for w in tokens if len(w) > 7})[:2]
-        first.setdefault(tuple(long) if len(long) == 2 else tuple(tokens), k)
+        first.setdefault((y, *(long if len(long) == 2 else tokens)), k)
     return sorted(first.values())
 
 
+def _bags(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """All distinct words of the texts in order, and of each text the places of its own among them."""
+    number: dict[str, int] = {}
+    bags = []
+    for x in texts:  # only numbers of a text are kept
+        own = {number.setdefault(v, len(number)) for t in tokens_of(x) for v in views(t) if len(v) > 2}
+        bags.append(np.fromiter(own, np.int32, len(own)))
+    words = sorted(number)
+    place = np.empty(len(words), np.int32)
+    place[np.fromiter(map(number.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+    return words, [np.sort(place[b]) for b in bags]
+
+
 def fit(texts: list[str], labels: list[int], share: float | None = None, landmarks: int = LANDMARKS) -> Model:
     """Fit on labelled texts; `share` is how many of all texts are toxic, where the sample is not alike.
 
     With one label only, the model gives every text the same score: the share of toxic ones.
     """
-    kept = _apart(texts)
-    texts, labels = [texts[k] for k in kept], [labels[k] for k in kept]
-    label = np.array(labels, np.int64)
+    kept = _apart(texts, labels)
+    label = np.array([labels[k] for k in kept], np.int64)
     share = float(label.mean()) if share is None and len(label) else share or 0.0
     if not len(label) or label.min() == label.max():
         model = with_landmarks([])
         model.shift = float(np.log((share + 1e-4) / (1 - share + 1e-4)))
         return model
-    bags = [sorted({v for t in tokens_of(x) for v in views(t) if len(v) > 2}) for x in texts]
-    toxic_in, clean_in = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        (toxic_in if y else clean_in).update(bag)
-    words = sorted({*toxic_in, *clean_in})
-    place = {w: k for k, w in enumerate(words)}
+    words, bag_at = _bags([texts[k] for k in kept])
+    a, b = np.zeros(len(words)), np.zeros(len(words))  # how many toxic and clean texts hold each word
+    for k, y in zip(bag_at, label.tolist(), strict=True):
+        (a if y else b)[k] += 1
     up, down = (label == 1).sum(), (label == 0).sum()
-    a, b = np.array([toxic_in[w] for w in words], float), np.array([clean_in[w] for w in words], float)
     p = (a + b) / (up + down)
     odds = (a / up - b / down) / np.sqrt(p * (1 - p) * (1 / up + 1 / down) + 1e-9)  # z of the two rates
     order = np.lexsort((np.arange(len(words)), -odds))
-    bag_at = [np.array([place[w] for w in bag], np.int64) for bag in bags]
     weight = np.where(label == 1, share / max(label.mean(), 1e-9), (1 - share) / max(1 - label.mean(), 1e-9))
     strong = (a >= 3) & (odds > 4) & (a / up > 4 * b / down)  # words that toxic texts alone have
     likely = a / up > 2 * b / down
     clean = np.nonzero(b)[0]
     # of a toxic text with strong words the worst one speaks, of another its worst that clean texts have more seldom
-    toxic_bags = [k[strong[k]] if strong[k].any() else k[likely[k]] for k, y in zip(bag_at, labels, strict=True) if y]
+    toxic_bags = [k[strong[k]] if strong[k].any() else k[likely[k]] for k, y in zip(bag_at, label.tolist(), strict=True) if y]
     toxic_bags = [k for k in toxic_bags if len(k)]
     if not len(clean) or not toxic_bags:
         return fit([], [], share)
@@ -239,7 +265,6 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
             kmm = model.kernel(chosen).astype(float)
             value, vector = np.linalg.eigh((kmm + kmm.T) / 2)
             root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-3))) @ vector.T  # Nyström: K_mm ** -1/2
-            kernel = model.kernel(words)
         witness = Counter(int(k[score[k].argmax()]) for k in toxic_bags)
         for k in np.nonzero(strong)[0].tolist():
             witness[k] = max(witness[k], int(a[k]))
@@ -249,12 +274,15 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
         at = np.concatenate([plus, minus])
         y = np.concatenate([np.ones(len(plus)), -np.ones(len(minus))])
         n = np.concatenate([[witness[int(k)] for k in plus], b[minus] * up / down])
-        x = np.vstack([kernel[at], model.kernel(hidden)])
+        x = np.ones((len(at) + len(hidden), len(root) + 1))
+        x[:len(at), :-1] = model.kernel([words[k] for k in at]) @ root  # only these rows of the kernel are ever made
+        x[len(at):, :-1] = model.kernel(hidden) @ root
         y = np.concatenate([y, np.ones(len(hidden))])
         n = np.concatenate([n, np.full(len(hidden), 4.0)])
-        line, bias = _squared_hinge(x.astype(float) @ root, y, np.sqrt(np.maximum(n, 0.1)))
+        line, bias = _squared_hinge(x, y, np.sqrt(np.maximum(n, 0.1)))
         model.line, model.bias = (root @ line).astype(np.float32), bias
-        score = kernel @ model.line + bias
+        model.summed = None  # of the line before
+        score = model.distances(words)
     worst = np.array([score[k].max() if len(k) else model.bias for k in bag_at])
     model.slope, model.shift = _platt(worst, label, weight)
     return model
@@ -263,7 +291,8 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, landmar
 def _spread(words: list[str], n: int, taken: list[str]) -> list[str]:
     """The first `n` of at most 800 words that are not too much like an earlier one."""
     words = [w for w in dict.fromkeys(words) if 3 <= len(w) <= 16][:800]
-    like = with_landmarks(taken + words).kernel(words)
+    others = taken + words
+    like = np.hstack([with_landmarks(others[k:k + 128]).kernel(words) for k in range(0, len(others), 128)]) if others else np.zeros((0, 0))
     kept: list[int] = []
     for k in range(len(words)):
         if len(kept) < n and like[k, list(range(len(taken))) + [len(taken) + j for j in kept]].max(initial=0) <= 0.6:
@@ -284,7 +313,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, label: str, row
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Fit on a bounded sample of `labels` (id, 0 or 1; others are not read) and the texts of their documents."""
     sample, counts = labelled_sample(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), labels, id, label, rows)
-    got = sorted((r["text"] or "", r["label"]) for r in sample.collect())  # `rows` at most
+    got = sorted((r["text"] or "", r["label"]) for r in sample.toLocalIterator())  # `rows` at most
     return fit([t for t, _ in got], [y for _, y in got], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
@@ -305,7 +334,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     Every word of a whole text counts, however long. Null and empty texts have the score of a text without words.
     Columns of these names are replaced; rows are judged one by one, so repeated rows and ids do not matter.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.slim())
     docs = docs.drop(*[c for c in ("toxic_score", "worst_sentence") if c != text])
     at = docs.columns.index(text)
 
