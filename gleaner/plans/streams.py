@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from gleaner.streaming import flows
 from gleaner.streaming.sessions import sessionize_stream
 
 
+IDLE = 2e9  # seconds: longer than any log, so that only a next session or the end of the log ends one
+
+
 def _stream(t: Tables, name: str) -> DataFrame:
     return flows.read_table(t.spark, f"{t.folder}/{name}*.parquet", getattr(t, name).schema)
 
@@ -25,6 +30,16 @@ def _drained(t: Tables, stream: DataFrame, name: str) -> DataFrame:
     return t.spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+def _ended(t: Tables, source: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, last: dict | None = None) -> DataFrame:
+    """What `build` makes of a stream: drained, then ended and drained again, so that nothing stays open."""
+    path = scratch(t.spark, name)
+    stream = build(flows.with_end(source, f"{path}/end"))
+    flows.append_to(stream, f"{path}/rows", f"{path}/state").awaitTermination()
+    flows.end(t.spark, source.schema, f"{path}/end", **(last or {}))
+    flows.append_to(stream, f"{path}/rows", f"{path}/state").awaitTermination()
+    return t.spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def _updated(t: Tables, stream: DataFrame, name: str, key: str) -> DataFrame:
     path = scratch(t.spark, name)
     flows.updates_to(stream, f"{path}/rows", f"{path}/state").awaitTermination()
@@ -39,11 +54,11 @@ def _events(t: Tables) -> DataFrame:
 WITH e AS (SELECT user_id AS source, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true) AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 g AS (SELECT *, sum(cut::INT) OVER (PARTITION BY source ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e),
 b AS (SELECT source, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM g GROUP BY source, run)
-SELECT source, epoch_us(start) AS start_us, epoch_us(stop) AS stop_us, n::BIGINT AS n FROM b WHERE stop <= (SELECT max(ts) FROM events)""")
+SELECT source, epoch_us(start) AS start_us, epoch_us(stop) AS stop_us, n::BIGINT AS n FROM b""")
 def bursts(t: Tables) -> DataFrame:
-    """Runs of one user's events with less than six hours between them, once they are over."""
-    stream = flows.bursts(_events(t).select(F.col("user_id").alias("source"), "ts"), "6 hours")
-    return _drained(t, stream, "bursts").select("source", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("stop_us"), "n")
+    """Runs of one user's events with less than six hours between them, the last ones included."""
+    source = _events(t).select(F.col("user_id").alias("source"), "ts")
+    return _ended(t, source, lambda s: flows.bursts(s, "6 hours"), "bursts").select("source", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("stop_us"), "n")
 
 
 @query("o100_first_arrivals", "SELECT DISTINCT user_id, props FROM events")
@@ -71,12 +86,12 @@ def last_seen(t: Tables) -> DataFrame:
 
 @query("o103_sessionize_stream", f"""
 WITH RECURSIVE {LOG} SELECT usr AS "user", q, round(start_t, 3) AS start_t, start_seq, n_acted::BIGINT AS n_acted, first_acted
-FROM rows1 WHERE next_t < (SELECT epoch_ms(max(ts)) / 1000.0 FROM events WHERE event_type IN ('view', 'click', 'purchase'))""")
+FROM rows1""")
 def sessionize_stream_query(t: Tables) -> DataFrame:
-    """Sessions that are over because the user's next one has started."""
+    """All sessions: those over because the user's next one has started, and each user's last when the log ends."""
     log = search_events(_stream(t, "events")).withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("bigint")))
-    stream = sessionize_stream(log, gap=DAY, delay="0 seconds", idle=1e12)
-    return _drained(t, stream, "sessions").withColumn("start_t", F.round("start_t", 3))
+    found = _ended(t, log, lambda s: sessionize_stream(s, gap=DAY, delay="0 seconds", idle=IDLE), "sessions", {"t": flows.FAR.timestamp(), "seq": 0})
+    return found.withColumn("start_t", F.round("start_t", 3))
 
 
 @query("o104_search_rates", """
@@ -84,10 +99,10 @@ WITH w AS (SELECT date_trunc('hour', ts) AS start, count(*) FILTER (event_type =
              count(*) FILTER (event_type IN ('click', 'purchase')) AS acts FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1)
 SELECT epoch_us(start) AS start_us, searches::BIGINT AS searches, acts::BIGINT AS acts,
   CASE WHEN searches > 0 THEN round(acts / searches, 6) END AS acted_rate
-FROM w WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events WHERE event_type IN ('view', 'click', 'purchase'))""")
+FROM w""")
 def search_rates(t: Tables) -> DataFrame:
     log = search_events(_stream(t, "events")).withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("bigint")))
-    rates = _drained(t, flows.search_rates(log.select("ts", "type")), "rates")
+    rates = _ended(t, log.select("ts", "type"), flows.search_rates, "rates").filter(F.col("start") < F.lit(flows.FAR))
     return rates.select(F.unix_micros("start").alias("start_us"), "searches", "acts", *six("acted_rate"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from gleaner.operators import lexical
 from gleaner.session import cut_lineage
 
 
+FAR = datetime(2200, 1, 1)
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -30,6 +32,23 @@ def read_table(spark: SparkSession, path: str, schema, max_files: int | None = N
     return reader.parquet(path)
 
 
+def with_end(stream: DataFrame, folder: str) -> DataFrame:
+    """`stream` together with the rows of a folder that stays empty until `end` is called; put it before a watermark."""
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
+def end(spark: SparkSession, schema, folder: str, ts: str = "ts", at: datetime = FAR, **values) -> None:
+    """Say that nothing more will come: one row at a far time, whose other columns are null but for `values`.
+
+    It moves the watermark past all that is open, so the next run with the same state gives out every window and
+    session that is left. The row's own stay open and are never given out; events that come later are dropped.
+    """
+    row = {f.name: None for f in schema} | values | {ts: at}
+    spark.createDataFrame([tuple(row[f.name] for f in schema)], schema).write.mode("append").parquet(folder)
+
+
 def append_to(stream: DataFrame, path: str, state: str, available_now: bool = True, interval: str = "20 seconds") -> StreamingQuery:
     """Write final rows as Parquet; `available_now` drains what is there and stops."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append")
