@@ -194,6 +194,14 @@ def test_groups_of_long_stretches():
     assert alignment.groups([], []) == []
 
 
+@given(st.text(st.sampled_from("abzé ÀßÆªº²½×ƒǅ01'\'slltve \t\n\r.,-_<|endoftext|>"), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_merges_by_rank_equal_the_tokenizer(text):
+    assert CUTTER.ranks is not None
+    assert CUTTER.ranks.encode_ordinary(text) == CUTTER.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+CUTTER = alignment.load()
 ODD = [None, "", " ", "  two  spaces ", "plain English text, twice: plain English text", "naïve café 漢字 😀😀", "a▁b", "<|endoftext|> <s> </s> <unk> <0x41>", "\n\n\tx\r\n", "x" * 3000, "tab\there\x00nul", "w " * 2000]
 
 
