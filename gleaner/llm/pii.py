@@ -185,7 +185,7 @@ def secret(text: str, key: bytes, back: bool = False) -> str | None:
 
 # The forms in which personal data and secrets are written.
 FORMS: tuple[tuple[str, str, Callable[..., str | None]], ...] = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?<!-)", email),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?<!-)", email),
     ("aws_key", r"(?<=\bAKIA)[A-Z0-9]{16}\b", secret),
     ("secret", r"(?i:(?<=\bpassword=)|(?<=\bpasswd=)|(?<=\bsecret=)|(?<=\btoken=)|(?<=\bapi_key=)|(?<=\bapikey=))[A-Za-z0-9_+/-]{6,}", secret),
     ("quoted_secret", r"(?i:(?<=\btoken = \")|(?<=\bsecret = \")|(?<=\bpassword = \")|(?<=\bapi_key = \"))[A-Za-z0-9_+/-]{8,}(?=\")", secret),

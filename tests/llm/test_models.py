@@ -419,3 +419,12 @@ def test_kernel_equals_its_sum():
 
 def test_letters_set_apart_are_joined():
     assert "ass" in toxicity.tokens_of("you a s s there") and "aaa" in toxicity.tokens_of("a a a")
+
+
+def test_addresses_are_found_in_linear_time():
+    import time
+
+    start = time.process_time()
+    blob = "ab.c" * 250_000 + "1"
+    new, found = pii.pseudonymise(f"{blob} jo@example.org {blob}", b"key")
+    assert [f[0] for f in found] == ["email"] and new.endswith(blob) and time.process_time() - start < 5
