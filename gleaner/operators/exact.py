@@ -10,6 +10,7 @@ is sorted but the candidates, and only counts are shuffled.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -18,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.operators import fusion
-from gleaner.operators.lexical import lexical_score
+from gleaner.operators import fusion, postings
 from gleaner.operators.ordering import global_rank, top_k
 from gleaner.operators.vectors import SCORE_DIGITS, best_first, dot, matrix, query_blocks, query_matrix, score_vectors, usable
 from gleaner.session import cut_lineage
@@ -29,6 +29,15 @@ QUERIES_PER_PASS = 1000
 Routes = dict[str, tuple[DataFrame, DataFrame]]
 
 
+@dataclass(frozen=True)
+class Words:
+    """A stored index, the queries' wording in it, and the documents with enough of it to take part in the ranking."""
+
+    index: postings.WordIndex
+    wording: postings.Wording
+    lex: DataFrame
+
+
 def _numpy_ids(ids: list) -> np.ndarray:
     return np.array(ids) if ids else np.array([], dtype=np.int64)
 
@@ -98,7 +107,7 @@ def places_of(ids_table: DataFrame, wanted: list) -> dict:
 
 
 def candidate_hits(
-    queries: DataFrame, docs: DataFrame, routes: Routes, depth: int, lex: DataFrame, text_routes: tuple[str, ...],
+    queries: DataFrame, docs: DataFrame, routes: Routes, depth: int, words: Words, text_routes: tuple[str, ...],
     lex_floor: float, match_floor: float, lex_match: float,
 ) -> DataFrame | None:
     """(query, id, score, match, lex), exact, of items in the first `depth` places of a route or sure to match.
@@ -107,6 +116,7 @@ def candidate_hits(
     """
     spark = docs.sparkSession
     items = docs.select("id")
+    lex = words.lex
     lex_ranked = cut_lineage(
         global_rank(lex.filter(F.col("share") >= lex_floor).withColumnRenamed("share", "score"), ["query"], best_first()))
     picked = [lex_ranked.filter(F.col("rank") <= depth).select("query", "id"), lex.filter(F.col("share") >= lex_match).select("query", "id")]
@@ -151,7 +161,7 @@ def candidate_hits(
             evidence.append(ranked.select("query", "id", F.col("score").alias("match")))
     fused = fusion.fuse_scores(reduce(DataFrame.unionByName, ranks))
     best = reduce(DataFrame.unionByName, evidence).groupBy("query", "id").agg(F.max("match").alias("match"))
-    said = lex.join(candidates, ["query", "id"], "left_semi").select("query", "id", F.col("share").alias("lex"))
+    said = postings.shares_of(candidates, words.wording, words.index).withColumnRenamed("share", "lex")
     joined = fused.join(best, ["query", "id"], "left").join(said, ["query", "id"], "left")
     return joined.select("query", "id", "score", "match", F.coalesce("lex", F.lit(0.0)).alias("lex"))
 
@@ -161,9 +171,9 @@ def _full_hits(queries: DataFrame, docs: DataFrame, routes: Routes, text_routes,
     return fusion.hits(fusion.route_rankings(queries, docs, some, text_routes, lex_floor, script_map))
 
 
-def _lexical(queries: DataFrame, docs: DataFrame, script_map) -> DataFrame:
-    lex = lexical_score(queries, docs, script_map)
-    return cut_lineage(lex.withColumn("share", F.round("share", fusion.FUSED_DIGITS)))
+def _words(queries: DataFrame, index: postings.WordIndex, floor: float) -> Words:
+    wording = postings.asked(queries, index)
+    return Words(index, wording, cut_lineage(postings.shares_at_least(queries, index, floor, wording)))
 
 
 def halves(queries: DataFrame) -> list[DataFrame]:
@@ -176,19 +186,21 @@ def halves(queries: DataFrame) -> list[DataFrame]:
 def search_top(
     queries: DataFrame, docs: DataFrame, routes: Routes, k: int = 10, text_routes: tuple[str, ...] = ("ocr",),
     lex_floor: float = fusion.LEX_FLOOR, script_map: dict[str, str] | None = None,
+    index: postings.WordIndex | None = None,
 ) -> DataFrame:
     """The same rows as `fusion.search`: the best `k` of each query.
 
     Queries with too many candidates together are asked in smaller passes; only one query that has too many by itself
     is ranked in full.
     """
+    index = index or postings.temporary_index(docs, script_map)
     n_routes = len(routes) + 1
     depth = n_routes * (fusion.RRF_K + k) - fusion.RRF_K
     found, waiting = [], query_blocks(queries, QUERIES_PER_PASS)
     while waiting:
         block = waiting.pop()
-        lex = _lexical(block, docs, script_map)
-        hits = candidate_hits(block, docs, routes, depth, lex, text_routes, lex_floor, np.inf, np.inf)
+        words = _words(block, index, lex_floor)
+        hits = candidate_hits(block, docs, routes, depth, words, text_routes, lex_floor, np.inf, np.inf)
         if hits is None:
             fewer = halves(block)
             if len(fewer) > 1:
@@ -203,6 +215,7 @@ def split_top(
     queries: DataFrame, docs: DataFrame, routes: Routes, maybe_k: int = 12, hidden: DataFrame | None = None,
     text_routes: tuple[str, ...] = ("ocr",), lex_floor: float = fusion.LEX_FLOOR,
     match_threshold: float = fusion.MATCH_THRESHOLD, lex_match: float = fusion.LEX_MATCH, script_map: dict[str, str] | None = None,
+    index: postings.WordIndex | None = None,
 ) -> DataFrame:
     """The same rows as `fusion.split_search`: all confident matches, and the best `maybe_k` others.
 
@@ -210,17 +223,18 @@ def split_top(
     others the routes are followed further down. Queries with too many candidates together are asked in smaller
     passes.
     """
+    index = index or postings.temporary_index(docs, script_map)
     n_routes = len(routes) + 1
     n_items = docs.count()
     first = n_routes * (fusion.RRF_K + 4 * maybe_k) - fusion.RRF_K
     found, waiting = [], [(block, first) for block in query_blocks(queries, QUERIES_PER_PASS)]
     while waiting:
         block, depth = waiting.pop()
-        lex = _lexical(block, docs, script_map)
+        words = _words(block, index, min(lex_floor, lex_match))
         while True:
             hits = None
             if depth < n_items:
-                hits = candidate_hits(block, docs, routes, depth, lex, text_routes, lex_floor, match_threshold, lex_match)
+                hits = candidate_hits(block, docs, routes, depth, words, text_routes, lex_floor, match_threshold, lex_match)
             if hits is None:
                 fewer = halves(block) if depth < n_items else []
                 if len(fewer) > 1:
@@ -238,5 +252,5 @@ def split_top(
                 break
             found.append(split.join(sure, "query", "left_semi"))
             block, depth = open_, depth * 4
-            lex = lex.join(block.select("query"), "query", "left_semi")
+            words = replace(words, lex=words.lex.join(block.select("query"), "query", "left_semi"))
     return reduce(DataFrame.unionByName, found)

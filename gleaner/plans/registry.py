@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import ship_package
+from gleaner.operators import postings
+from gleaner.session import scratch, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+_INDEXES: dict[tuple, str] = {}
 
 
 class Tables:
@@ -32,6 +34,16 @@ class Tables:
     def docs(self) -> DataFrame:
         return self.spread("documents").select(F.col("doc_id").alias("id"), "text")
 
+    def word_index(self) -> postings.WordIndex:
+        """The stored index of the documents: written once an application, again when their files have changed."""
+        files = self.documents.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+        state = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("*")), F.max("file_modification_time")).first()
+        key = (self.spark.sparkContext.applicationId, self.folder, *state)
+        if key not in _INDEXES:
+            _INDEXES[key] = scratch(self.spark, "words")
+            postings.write_index(self.docs(), _INDEXES[key])
+        return postings.read_index(self.spark, _INDEXES[key])
+
     def questions(self) -> DataFrame:
         return self.benchmark.select(F.col("item_id").alias("query"), "text")
 

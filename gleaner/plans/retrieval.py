@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
-from gleaner.operators import exact, fusion, lexical, similarity, vectors
-from gleaner.operators.ordering import top_k
+from gleaner.operators import exact, fusion, lexical, postings, similarity, vectors
 from gleaner.plans import sql
 from gleaner.plans.registry import Tables, big, query, six
+from gleaner.session import broadcast_if_small
 
 
 @query("o32_lexical_units", f"""
@@ -23,13 +23,15 @@ def lexical_units(t: Tables) -> DataFrame:
 @query("o33_build_lexical_index", f"""
 WITH {sql.LEXICAL} SELECT gram, df::BIGINT AS df, round(idf, 6) AS idf, round(unseen, 6) AS unseen FROM grams""")
 def build_lexical_index(t: Tables) -> DataFrame:
-    return lexical.build_lexical_index(t.docs()).select("gram", "df", *six("idf", "unseen"))
+    """The weights by the stored index, which this query writes if it is not there yet."""
+    index = t.word_index()
+    return lexical.weigh(index.counts, index.size).select("gram", "df", *six("idf", "unseen"))
 
 
 @query("o34_lexical_score", f"""
 WITH {sql.LEXICAL} SELECT query, id, round(share, 6) AS share FROM lexical""")
 def lexical_score(t: Tables) -> DataFrame:
-    return lexical.lexical_score(t.questions(), t.docs()).select("query", "id", *six("share"))
+    return postings.all_shares(t.questions(), t.word_index()).select("query", "id", *six("share"))
 
 
 @query("o27_probe_postings", f"""
@@ -37,7 +39,7 @@ WITH {sql.LEXICAL} SELECT query, id, count(*)::BIGINT AS shared FROM wanted JOIN
 def probe_postings(t: Tables) -> DataFrame:
     """The inverted-index probe alone: how many of a query's grams each document holds."""
     wanted = lexical.query_grams(t.questions())
-    return wanted.join(lexical.document_grams(t.docs()), "gram").groupBy("query", "id").agg(F.count(F.lit(1)).alias("shared"))
+    return broadcast_if_small(wanted).join(t.word_index().inverted, "gram").groupBy("query", "id").agg(F.count(F.lit(1)).alias("shared"))
 
 
 TOP_LEXICAL = f"""
@@ -48,8 +50,7 @@ WITH {sql.LEXICAL} SELECT query, id, round(share, 6) AS share, rank FROM (
 @query("o69_top_k", TOP_LEXICAL)
 def lexical_top(t: Tables) -> DataFrame:
     """The ten documents that say most of each question."""
-    shares = lexical.lexical_score(t.questions(), t.docs()).withColumn("share", F.round("share", fusion.FUSED_DIGITS))
-    return top_k(shares, ["query"], [F.desc("share"), F.asc("id")], 10).select("query", "id", *six("share"), "rank")
+    return postings.top_shares(t.questions(), t.word_index(), 10).select("query", "id", *six("share"), "rank")
 
 
 @query("o35_rank_route", f"""
@@ -99,7 +100,7 @@ SELECT query, id, round(score, 6) AS score, round(match, 6) AS match, round(lex,
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM hits) WHERE rank <= 10""")
 def search(t: Tables) -> DataFrame:
     """The ten best of each question; only the routes' first places are looked at, with the same result."""
-    return exact.search_top(_asked(t), t.docs(), _routes(t), 10).select("query", "id", *six("score", "match", "lex"), "rank")
+    return exact.search_top(_asked(t), t.docs(), _routes(t), 10, index=t.word_index()).select("query", "id", *six("score", "match", "lex"), "rank")
 
 
 @query("o38_split_search", f"""
@@ -110,7 +111,7 @@ SELECT query, id, round(score, 6) AS score, round(match, 6) AS match, round(lex,
        CASE WHEN sure THEN 'matches' ELSE 'maybe' END AS section
 FROM sectioned WHERE sure OR rank <= 12""")
 def split_search(t: Tables) -> DataFrame:
-    found = exact.split_top(_asked(t), t.docs(), _routes(t))
+    found = exact.split_top(_asked(t), t.docs(), _routes(t), index=t.word_index())
     return found.select("query", "id", *six("score", "match", "lex"), "rank", "section")
 
 
@@ -124,7 +125,7 @@ FROM sectioned WHERE sure OR rank <= 12""")
 def search_visible(t: Tables) -> DataFrame:
     """Rejected and removed documents keep the ranks they took, then drop out."""
     hidden = t.labels.filter("quality = 0 OR toxic = 1").select(F.col("doc_id").alias("id"))
-    found = exact.split_top(_asked(t), t.docs(), _routes(t), hidden=hidden)
+    found = exact.split_top(_asked(t), t.docs(), _routes(t), hidden=hidden, index=t.word_index())
     return found.select("query", "id", *six("score"), "rank", "section")
 
 

@@ -73,8 +73,12 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     The measure is the length of the rows as JSON, null fields aside.
     """
     df = cut_lineage(df)
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")).first()["size"] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    return F.broadcast(df) if measure(df) <= max_bytes else df
+
+
+def measure(df: DataFrame) -> int:
+    """Bytes of the rows as JSON, null fields aside."""
+    return df.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("size")).first()["size"] or 0
 
 
 def take_bounded(df: DataFrame, max_rows: int, what: str) -> list:

@@ -9,43 +9,12 @@ from gleaner.operators import exact, fusion, lexical
 from gleaner.plans import evaluation
 from gleaner.plans.registry import Tables
 
-DOCS = {"a": "下雨的日子想出海", "b": "出海的日子想回家", "c": "他的船", "d": "他的桨"}
-
-
-def _scores(spark, query, docs=DOCS):
-    d = spark.createDataFrame(list(docs.items()), "id string, text string")
-    q = spark.createDataFrame([(1, query)], "query int, text string")
-    return {r.id: r.share for r in lexical.lexical_score(q, d).collect()}
-
-
 def test_units_read_every_script_alike(spark):
     df = spark.createDataFrame([("誰見過？ＦＯＧ燈",)], "t string")
     got = df.select(T.units(F.col("t"), {"誰": "谁", "見": "见", "過": "过", "燈": "灯"}).alias("u")).first().u
     assert got == ["谁", "见", "过", "fog", "灯"]
 
 
-def test_share_of_the_wording(spark):
-    assert _scores(spark, "想出海")["a"] == pytest.approx(1.0)
-    assert 0 < _scores(spark, "想回家了")["b"] < 1
-    both = _scores(spark, "他的桨")
-    assert both["d"] == pytest.approx(1.0) and both["c"] < 0.5
-    assert _scores(spark, "？！") == {} and _scores(spark, "木船") == {}
-    assert set(_scores(spark, "船")) == {"c"}
-
-
-def test_a_pair_is_not_a_unit(spark):
-    assert _scores(spark, "oar mast", {"x": "oarmast", "y": "oar mast", "z": "mast oar"}) == {"y": pytest.approx(1.0)}
-
-
-def test_postings_table_gives_the_same_scores(spark):
-    d = spark.createDataFrame(list(DOCS.items()), "id string, text string")
-    lexical.write_postings(d, "postings_test", 4)
-    q = spark.createDataFrame([(1, "他的桨")], "query int, text string")
-    got = lexical.score_postings(q, spark.table("postings_test"), lexical.corpus_size(d))
-    assert {r.id: r.share for r in got.collect()} == pytest.approx(_scores(spark, "他的桨"))
-    spark.sql("DROP TABLE postings_test")
-
-
 def test_fusion(spark):
     rows = [(1, "a", 1), (1, "b", 2), (1, "b", 1), (1, "c", 2)]
     got = fusion.rrf_fuse(spark.createDataFrame(rows, "query int, id string, rank int")).orderBy("rank").collect()
