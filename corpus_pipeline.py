@@ -16,6 +16,10 @@ from gleaner.llm.common import table
 from gleaner.session import scratch, ship_package
 
 
+#: A key for tests; a run of one's own names its own, as whoever has the key can undo the pseudonyms.
+PII_KEY = b"a key for tests; a run of one's own names its own"
+
+
 def _apart(docs: DataFrame) -> DataFrame:
     """`docs` with every column but doc_id and text under a name that no operator uses."""
     return docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"__column_{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
@@ -58,7 +62,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole texts with pseudonyms; no document goes."""
     ship_package(spark)
-    return _as_documents(pii.redact(_apart(docs)), docs)
+    return _as_documents(pii.redact(_apart(docs), key=PII_KEY), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
