@@ -3,13 +3,14 @@
 A value is read as a number within its format (all card numbers of 16 digits, all days of two centuries, …) and
 permuted there: a card number becomes another one whose check digit is right, a date another date written the same
 way. The permutation depends on the key and the kind of value alone, so equal values stay equal in every document,
-and whoever holds the key can undo it.
+however a date or a telephone number is set, and whoever holds the key can undo it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from math import isqrt
@@ -18,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = b"a key for tests; a run of one's own names its own"
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -125,15 +125,29 @@ def ssn(text: str, key: bytes, back: bool = False) -> str | None:
     return letters_and_digits(text, key, "ssn", back, _ssn_valid) if _ssn_valid(text) else None
 
 
+# The country numbers of one and of two digits; all others have three.
+SHORT_COUNTRIES = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+    "81 82 84 86 90 91 92 93 94 95 98".split()
+)
+
+
+def _country(digits: str) -> str:
+    """The country number that `digits` begin with; none is the beginning of another."""
+    return next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_COUNTRIES), digits[:3])
+
+
 def phone(text: str, key: bytes, back: bool = False) -> str | None:
-    """The country's number is kept; the rest is permuted as digits, however they are set."""
-    country = re.match(r"\+\d{1,3}(?=[ (.-])", text)
-    head = country.group() if country else ""
-    d = _digits(text[len(head):])
+    """The country's number is kept; the rest is permuted as digits, however they are set. A number without a country
+    is one of country 1. The first digit there stays among 0 and 1 or among the others, so both forms read alike."""
+    d = _digits(text)
+    head = _country(d) if text[0] == "+" else ""
+    d = d[len(head):]
     if not 7 <= len(d) <= 14 or (not head and d[0] in "01"):
         return None
-    new = letters_and_digits(d, key, f"phone|{head}", back, lambda t: bool(head) or t[0] not in "01")
-    return head + _in_place(text[len(head):], new)
+    country, trunk = head or "1", d[0] in "01"
+    new = letters_and_digits(d, key, f"phone|{country}", back, lambda t: country != "1" or (t[0] in "01") == trunk)
+    return _in_place(text, head + new)
 
 
 def ip(text: str, key: bytes, back: bool = False) -> str | None:
@@ -144,8 +158,21 @@ def ip(text: str, key: bytes, back: bool = False) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+def _calendar() -> dict[bool, list[date]]:
+    """All days in order, those that may be read as a month apart from the later ones of each month."""
+    days = [FIRST_DAY + timedelta(n) for n in range((LAST_DAY - FIRST_DAY).days + 1)]
+    return {late: [t for t in days if (t.day > 12) == late] for late in (False, True)}
+
+
+_CALENDAR = _calendar()
+
+
 def day(text: str, key: bytes, back: bool = False) -> str | None:
-    """Year first or last; between slashes the month comes before the day where both readings can be."""
+    """Year first or last; between slashes the month comes before the day where both readings can be.
+
+    Days up to the 12th become such days and later ones later ones, so a pseudonym is read in the order in which the
+    date was, and a day has one pseudonym in all forms.
+    """
     sep = next(c for c in text if c not in _DIGITS)
     parts = text.split(sep)
     orders = ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 0, 1), (2, 1, 0)) if sep == "/" else ((2, 1, 0),)
@@ -154,19 +181,12 @@ def day(text: str, key: bytes, back: bool = False) -> str | None:
             found = date(int(parts[y]), int(parts[m]), int(parts[d]))
         except ValueError:
             continue
-        if not FIRST_DAY <= found <= LAST_DAY:
-            continue
-
-        def same_reading(t: date, m=m, d=d) -> bool:  # only so is the pseudonym read back as it was written
-            return not (m == 1 and sep == "/") or t.day > 12
-
-        new = found
-        while True:
-            new = FIRST_DAY + timedelta(permute((new - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, key, "date", back))
-            if same_reading(new):
-                break
-        put = {y: f"{new.year:04d}", m: f"{new.month:02d}", d: f"{new.day:02d}"}
-        return sep.join(put[k] for k in range(3))
+        if FIRST_DAY <= found <= LAST_DAY:
+            late = found.day > 12
+            days = _CALENDAR[late]
+            new = days[permute(bisect_left(days, found), len(days), key, f"date|{late}", back)]
+            put = {y: f"{new.year:04d}", m: f"{new.month:02d}", d: f"{new.day:02d}"}
+            return sep.join(put[k] for k in range(3))
     return None
 
 
@@ -209,6 +229,30 @@ _ALONE = {name: re.compile(form, re.ASCII) for name, form, _ in FORMS}
 _ORDER = [name for name, _, _ in FORMS]
 
 
+_TWICE = [sum(divmod(2 * d, 10)) for d in range(10)]
+
+
+def _card_ends(text: str, start: int, end: int) -> list[int]:
+    """Ends of the numbers of 13 digits or more from `start` on whose check digit is right, longest first. Both check
+    sums (this digit doubled or not) are carried along, so a run is read once."""
+    ends, n, as_last, as_next = [], 0, 0, 0
+    for k in range(start, end):
+        if text[k] in _DIGITS:
+            c = int(text[k])
+            n, as_last, as_next = n + 1, as_next + c, as_last + _TWICE[c]
+            if n > 12 and as_last % 10 == 0 and (k + 1 == end or text[k + 1] in _RUNS_ON["card"]):
+                ends.append(k + 1)
+    return ends[::-1]
+
+
+def _ends(kind: str, form: re.Pattern, text: str, start: int, end: int) -> list[int]:
+    """Where a value that begins at `start` may end, longest first."""
+    if kind == "card":
+        return _card_ends(text, start, end)
+    marks = _RUNS_ON.get(kind, "")
+    return [end, *(k for k in range(end - 1, start, -1) if text[k] in marks and form.fullmatch(text, start, k))]
+
+
 def _valid(m: re.Match, key: bytes, back: bool) -> tuple[str, int, str | None]:
     """Kind, end and pseudonym of the valid value that begins where `m` does.
 
@@ -219,16 +263,14 @@ def _valid(m: re.Match, key: bytes, back: bool) -> tuple[str, int, str | None]:
         form, make = _ALONE[kind], _PSEUDONYM[kind]
         if not (found := form.match(text, start)):
             continue
-        ends = [k for k in range(found.end() - 1, start, -1) if text[k] in _RUNS_ON.get(kind, "")]
-        for end in [found.end(), *ends]:
-            if end == found.end() or form.fullmatch(text, start, end):
-                new = make(text[start:end], key, back)
-                if new is not None:
-                    return kind, end, new
+        for end in _ends(kind, form, text, start, found.end()):
+            new = make(text[start:end], key, back)
+            if new is not None:
+                return kind, end, new
     return m.lastgroup, m.end(), None
 
 
-def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str, list[tuple[str, int, int, str]]]:
+def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with every valid value replaced, and the places: (kind, start, end in the text, new value)."""
     found: list[tuple[str, int, int, str]] = []
     out, done, at = [], 0, 0
@@ -243,9 +285,9 @@ def pseudonymise(text: str, key: bytes = KEY, back: bool = False) -> tuple[str,
     return "".join(out) + text[done:], found
 
 
-def redact(docs: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+def redact(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """`docs` with personal data in `text` replaced by pseudonyms, and pii: an array of (kind, start, end, value),
-    code points of the old text and the new value.
+    code points of the old text and the new value. `key` is the caller's secret: whoever has it can undo them.
 
     Whole texts are read. A null text stays null with no places; values that fail their check (Luhn, mod 97, the
     calendar) are no personal data and stay. A column named pii is replaced; rows are judged one by one.
