@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,95 +100,111 @@ def _context_drop(lines: Column, x: Column, i: Column) -> Column:
     return F.coalesce(name, F.lit(False)) | F.coalesce(bit, F.lit(False))
 
 
-_ROW = "struct<text:string,left:double,top:double,right:double,bottom:double>"
-
-
-def _row(text: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
-    return F.struct(text.alias("text"), left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom"))
+_BOX = "struct<left:double,top:double,right:double,bottom:double>"
+_BLOCK = 256  # marks are gathered in blocks, so that a document costs about as much as it has lines
+_DROPPED, _STARTS, _RUNS_ON, _SET_APART = range(4)
 
 
-def _ends_cjk_or_wide(text: Column) -> Column:
-    return F.substring(text, -1, 1).rlike("[^\\x00-\\x7f]")
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once; inside a lambda a plain expression would be, again and again."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _glue(a: Column, b: Column) -> Column:
-    """Wide script joins as it is; anything with Latin keeps a space."""
-    tight = _ends_cjk_or_wide(a) & F.substring(b, 1, 1).rlike(N.CJK)
+    """What goes between two texts: nothing between wide letters, else a space."""
+    tight = F.substring(a, -1, 1).rlike("[^\\x00-\\x7f]") & F.substring(b, 1, 1).rlike(N.CJK)
     return F.when(tight, F.lit("")).otherwise(F.lit(" "))
 
 
-def _same_row(row: Column, x: Column) -> Column:
-    h1, h2 = _height(row), _height(x)
-    low, high = F.least(h1, h2), F.greatest(h1, h2)
-    overlap = F.least(row["bottom"], x["bottom"]) - F.greatest(row["top"], x["top"])
-    return (overlap >= 0.5 * low) & (low >= 0.6 * high) & (x["left"] >= row["right"] - 0.5 * h1)
+def _marks(lines: Column) -> Column:
+    """Per line, whether it is dropped, begins a row, or stands further right on the row before it.
 
+    A row is as wide and high as its lines so far; a line belongs to it that shares half the lower height of both,
+    is of like height, and begins where the row ends.
+    """
+    none = F.lit(None).cast(_BOX)
+    sides = ("left", "top", "right", "bottom")
 
-def _extended(row: Column, x: Column) -> Column:
-    apart = (x["left"] - row["right"]) > 0.5 * _height(row)
-    between = F.when(apart, F.lit(" ")).otherwise(_glue(row["text"], x["text"]))
-    return _row(
-        F.concat(row["text"], between, x["text"]), F.least(row["left"], x["left"]), F.least(row["top"], x["top"]),
-        F.greatest(row["right"], x["right"]), F.greatest(row["bottom"], x["bottom"]),
-    )
+    def step(acc: Column, x: Column) -> Column:
+        row, tall = acc["row"], _height(acc["row"])
+        low, high = F.least(tall, _height(x)), F.greatest(tall, _height(x))
+        shared = F.least(row["bottom"], x["bottom"]) - F.greatest(row["top"], x["top"])
+        behind = x["left"] - row["right"]
+        on_it = row.isNotNull() & (shared >= 0.5 * low) & (low >= 0.6 * high) & (x["left"] >= row["right"] - 0.5 * tall)
+        wider = F.struct(*[(F.least if k < 2 else F.greatest)(row[c], x[c]).alias(c) for k, c in enumerate(sides)])
+
+        def marked(mark: Column, box: Column) -> Column:
+            return F.struct(F.concat(acc["marks"], F.array(mark)).alias("marks"), box.alias("row"))
 
+        return (
+            F.when(~x["kept"], marked(F.lit(_DROPPED), none))
+            .when(on_it, marked(F.when(behind > 0.5 * tall, _SET_APART).otherwise(_RUNS_ON), wider))
+            .otherwise(marked(F.lit(_STARTS), F.struct(*[x[c].alias(c) for c in sides])))
+        )
 
-def _em(row: Column) -> Column:
-    cjk = N.cjk_count(row["text"])
-    return (row["right"] - row["left"]) / F.greatest(F.lit(1.0), cjk + 0.55 * (F.length(row["text"]) - cjk))
+    def block(done: Column, k: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("marks"), F.get(done, F.size(done) - 1)["row"].alias("row"))
+        return F.concat(done, F.array(F.aggregate(F.slice(lines, k * _BLOCK + 1, _BLOCK), start, step)))
 
+    blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(lines) - 1) / _BLOCK).cast("int"), F.lit(0)))
+    marks = F.aggregate(blocks, F.array().cast(f"array<struct<marks:array<int>,row:{_BOX}>>"), block, lambda done: F.flatten(F.transform(done, lambda d: d["marks"])))
+    return F.when(lines.isNotNull(), marks)
 
-def _continues(prev: Column, row: Column) -> Column:
-    h = F.greatest(_height(prev), _height(row))
-    gap = row["top"] - prev["bottom"]
-    e1, e2 = _em(prev), _em(row)
-    centre = (row["left"] + row["right"]) / 2 - (prev["left"] + prev["right"]) / 2
-    last = F.substring(prev["text"], -1, 1)
+
+def _row_of(part: Column, marks: Column, start: Column) -> Column:
+    """Neighbouring lines as one row: their texts from left to right and the box around them all."""
+    between = lambda x, j: (
+        F.when(j == 0, F.lit("")).when(F.get(marks, start + j) == _SET_APART, F.lit(" ")).otherwise(_glue(F.get(part, j - 1)["text"], x["text"]))
+    )
+    text = F.array_join(F.transform(part, lambda x, j: F.concat(between(x, j), x["text"])), "")
+    wide = N.cjk_count
+    least, most = lambda c: F.array_min(part[c]), lambda c: F.array_max(part[c])
+    return _let(text, lambda t: F.struct(
+        t.alias("text"), least("left").alias("left"), least("top").alias("top"), most("right").alias("right"), most("bottom").alias("bottom"),
+        ((most("right") - least("left")) / F.greatest(F.lit(1.0), wide(t) + 0.55 * (F.length(t) - wide(t)))).alias("letter"),
+    ))
+
+
+def _goes_on(above: Column, row: Column) -> Column:
+    """Whether a row takes up the sentence above it: right below, letters of like width, set to the same edge or
+    centre, and the row above filled and without a closing mark."""
+    h = F.greatest(_height(above), _height(row))
+    gap = row["top"] - above["bottom"]
+    width, width_above = row["right"] - row["left"], above["right"] - above["left"]
+    edge, centre = F.abs(row["left"] - above["left"]), F.abs((row["left"] + row["right"]) / 2 - (above["left"] + above["right"]) / 2)
     return (
-        (gap >= 0) & (gap < h) & (F.least(e1, e2) >= 0.8 * F.greatest(e1, e2))
-        & ((F.abs(row["left"] - prev["left"]) < 1.5 * h) | (F.abs(centre) < 1.5 * h))
-        & ((prev["right"] - prev["left"]) >= 0.8 * (row["right"] - row["left"]))
-        & ~F.contains(F.lit(N.SENTENCE_ENDS), last)
+        (gap >= 0) & (gap < h) & (F.least(edge, centre) < 1.5 * h) & (width_above >= 0.8 * width)
+        & (F.least(above["letter"], row["letter"]) >= 0.8 * F.greatest(above["letter"], row["letter"]))
+        & ~F.contains(F.lit(N.SENTENCE_ENDS), F.substring(above["text"], -1, 1))
     )
 
 
 def join_wrapped(lines: Column) -> Column:
-    """Lines (text, place, kept) back into sentences, a fold over each document's own array.
+    """Lines (text, place, kept) back into sentences, one a line of the result, within each document's own array.
 
-    Pieces on one row are joined first; then a row that continues the one above it. A dropped line ends both.
+    One pass numbers the rows, as it has to know how far a row reaches; rows and sentences are then put together at
+    once, a sentence going on from the row above only. A dropped line ends both. Null lines give null, none an empty text.
     """
-    none = F.lit(None).cast(_ROW)
-    # rows so far, null where a dropped line was, and the row being built
-    start = F.struct(F.array().cast(f"array<{_ROW}>").alias("rows"), none.alias("cur"))
+    def rows(read: Column, marks: Column, starts: Column) -> Column:
+        def row(start: Column, k: Column) -> Column:
+            size = F.coalesce(F.get(starts, k + 1), F.size(read)) - start
+            made = _let(F.slice(read, start + 1, size), lambda part: _row_of(part, marks, start))
+            return F.when(F.get(marks, start) != _DROPPED, made)
 
-    def closed(acc: Column) -> Column:
-        return F.when(acc["cur"].isNull(), acc["rows"]).otherwise(F.concat(acc["rows"], F.array(acc["cur"])))
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = _row(x["text"], x["left"], x["top"], x["right"], x["bottom"])
-        joins = acc["cur"].isNotNull() & _same_row(acc["cur"], x)
-        return (
-            F.when(~x["kept"], F.struct(F.concat(closed(acc), F.array(none)).alias("rows"), none.alias("cur")))
-            .when(joins, F.struct(acc["rows"].alias("rows"), _extended(acc["cur"], x).alias("cur")))
-            .otherwise(F.struct(closed(acc).alias("rows"), fresh.alias("cur")))
-        )
+        return F.transform(starts, row)
 
-    rows = F.aggregate(lines, start, step, closed)
-    begin = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("tail"), none.alias("prev"))
+    def sentences(rows: Column) -> Column:
+        def piece(row: Column, k: Column) -> Column:
+            above = F.get(rows, k - 1)
+            between = F.when(above.isNotNull() & _goes_on(above, row), _glue(above["text"], row["text"])).otherwise("\n")
+            return F.when(row.isNotNull(), F.concat(between, row["text"]))
 
-    def flushed(acc: Column) -> Column:
-        return F.when(acc["tail"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["tail"])))
+        return F.substr(F.array_join(F.transform(rows, piece), ""), F.lit(2))
 
-    def sentence(acc: Column, row: Column) -> Column:
-        goes_on = acc["prev"].isNotNull() & _continues(acc["prev"], row)
-        longer = F.concat(acc["tail"], _glue(acc["tail"], row["text"]), row["text"])
-        return (
-            F.when(row.isNull(), F.struct(acc["out"].alias("out"), acc["tail"].alias("tail"), none.alias("prev")))
-            .when(goes_on, F.struct(acc["out"].alias("out"), longer.alias("tail"), row.alias("prev")))
-            .otherwise(F.struct(flushed(acc).alias("out"), row["text"].alias("tail"), row.alias("prev")))
-        )
+    def begins(marks: Column) -> Column:
+        return F.filter(F.transform(marks, lambda m, i: F.when(m <= _STARTS, i)), lambda i: i.isNotNull())
 
-    return F.array_join(F.aggregate(rows, begin, sentence, flushed), "\n")
+    return _let(lines, lambda read: _let(_marks(read), lambda marks: _let(begins(marks), lambda starts: _let(rows(read, marks, starts), sentences))))
 
 
 def kept_lines(docs: DataFrame, at_least: int = COMMON_IN) -> DataFrame:

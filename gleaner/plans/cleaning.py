@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import noise as N
@@ -234,3 +234,62 @@ def pick_captions(t: Tables) -> DataFrame:
         F.col("source").alias("template"), F.array("two.a", "two.b").alias("boxes"),
         F.concat(F.lit("src/"), "doc_id", F.lit("/"), F.col("i") + 1).alias("url"), F.format_number("n_chars", 0).alias("votes"))
     return pick(entries, 3).select("template", "url", "caption", "rank")
+
+
+def _glue_sql(a: str, b: str) -> str:
+    return f"CASE WHEN regexp_matches(right({a}, 1), '[^\\x00-\\x7f]') AND regexp_matches(left({b}, 1), {_quoted(N.CJK)}) THEN '' ELSE ' ' END"
+
+
+_WIDE = f"length(regexp_replace(t, {_quoted(N.NOT_CJK)}, '', 'g'))"
+
+
+@query("o79_join_placed", f"""
+WITH RECURSIVE {LINES},
+measured AS (SELECT id, pos, t, NOT noise AS kept, length(t) AS n, pos % 2 = 0 AND length(t) % 3 = 0 AS beside,
+  lag(length(t)) OVER (PARTITION BY id ORDER BY pos) AS n_above FROM flagged),
+cornered AS (SELECT *, (CASE WHEN beside THEN 11 * n_above + 50 * (n % 3) + 20 * (n % 2) - 20 WHEN n % 5 = 0 THEN 300 ELSE 0 END)::DOUBLE AS l,
+  (70 * (pos - 1 - beside::INT))::DOUBLE AS u FROM measured),
+placed AS MATERIALIZED (SELECT *, l + n * (10 + 2 * (n % 3)) AS r, u + 30 + 12 * (n % 4) AS d FROM cornered),
+walk AS (
+  SELECT id, pos, CASE WHEN kept THEN l END AS wl, CASE WHEN kept THEN u END AS wu, CASE WHEN kept THEN r END AS wr,
+    CASE WHEN kept THEN d END AS wd, kept::INT AS mark FROM placed WHERE pos = 1
+  UNION ALL
+  SELECT id, pos, CASE WHEN kept THEN CASE WHEN on_it THEN least(wl, l) ELSE l END END, CASE WHEN kept THEN CASE WHEN on_it THEN least(wu, u) ELSE u END END,
+    CASE WHEN kept THEN CASE WHEN on_it THEN greatest(wr, r) ELSE r END END, CASE WHEN kept THEN CASE WHEN on_it THEN greatest(wd, d) ELSE d END END,
+    CASE WHEN NOT kept THEN 0 WHEN NOT on_it THEN 1 WHEN l - wr > (wd - wu) / 2 THEN 3 ELSE 2 END
+  FROM (SELECT p.*, wl, wu, wr, wd, wl IS NOT NULL AND least(wd, d) - greatest(wu, u) >= least(wd - wu, d - u) / 2
+      AND least(wd - wu, d - u) >= 0.6::DOUBLE * greatest(wd - wu, d - u) AND l >= wr - (wd - wu) / 2 AS on_it
+    FROM walk w JOIN placed p ON p.id = w.id AND p.pos = w.pos + 1)),
+marked AS (SELECT id, pos, mark, l, u, r, d, t, sum((mark <= 1)::INT) OVER w AS place,
+  CASE mark WHEN 1 THEN '' WHEN 3 THEN ' ' ELSE {_glue_sql('lag(t) OVER w', 't')} END || t AS piece
+  FROM walk JOIN placed USING (id, pos) WINDOW w AS (PARTITION BY id ORDER BY pos)),
+rows AS (SELECT id, place, max(mark) > 0 AS kept, string_agg(piece, '' ORDER BY pos) AS t, min(l) AS l, min(u) AS u, max(r) AS r, max(d) AS d
+  FROM marked GROUP BY id, place),
+sized AS (SELECT *, (r - l) / greatest(1, {_WIDE} + 0.55::DOUBLE * (length(t) - {_WIDE})) AS letter FROM rows),
+above AS (SELECT *, lag(kept) OVER w AS k0, lag(t) OVER w AS t0, lag(l) OVER w AS l0, lag(u) OVER w AS u0, lag(r) OVER w AS r0, lag(d) OVER w AS d0,
+  lag(letter) OVER w AS letter0 FROM sized WINDOW w AS (PARTITION BY id ORDER BY place)),
+joined AS (SELECT *, coalesce(k0 AND u - d0 >= 0 AND u - d0 < greatest(d0 - u0, d - u)
+  AND least(abs(l - l0), abs((l + r) / 2 - (l0 + r0) / 2)) < 1.5::DOUBLE * greatest(d0 - u0, d - u)
+  AND r0 - l0 >= 0.8::DOUBLE * (r - l) AND least(letter, letter0) >= 0.8::DOUBLE * greatest(letter, letter0)
+  AND NOT contains('{N.SENTENCE_ENDS}', right(t0, 1)), FALSE) AS goes_on FROM above)
+SELECT id, count(*) FILTER (kept AND NOT goes_on)::BIGINT AS n_sentences,
+  md5(coalesce(substr(string_agg(CASE WHEN goes_on THEN {_glue_sql('t0', 't')} ELSE chr(10) END || t, '' ORDER BY place) FILTER (kept), 2), '')) AS digest
+FROM joined GROUP BY id""")
+def join_placed(t: Tables) -> DataFrame:
+    """Lines on a page laid out by their own lengths: some stand beside the one before, heights and letters differ, and
+    noise lines are dropped between them."""
+    def place(s: Column, i: Column, texts: Column) -> Column:
+        n = F.length(s)
+        beside = (i % 2 == 1) & (n % 3 == 0)
+        left = F.when(beside, 11 * F.length(F.get(texts, i - 1)) + 50 * (n % 3) + 20 * (n % 2) - 20).when(n % 5 == 0, 300).otherwise(0).cast("double")
+        top = (70 * (i - beside.cast("int"))).cast("double")
+        return F.struct(
+            s.alias("text"), left.alias("left"), top.alias("top"), (left + n * (10 + 2 * (n % 3))).alias("right"),
+            (top + 30 + 12 * (n % 4)).alias("bottom"), (~N.is_noise(s, F.lit(1.0))).alias("kept"),
+        )
+
+    texts = t.docs().select("id", F.transform(F.split("text", "\n"), strip).alias("texts"))
+    lines = texts.select("id", F.transform("texts", lambda s, i: place(s, i, F.col("texts"))).alias("lines"))
+    joined = lines.select("id", cleaning.join_wrapped(F.col("lines")).alias("text"))
+    n_sentences = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n"))).cast("bigint")
+    return joined.select("id", n_sentences.alias("n_sentences"), F.md5("text").alias("digest"))
