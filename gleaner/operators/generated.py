@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import noise as N
 from gleaner.functions.text import fold_script, strip
 
-# The answer format, what a model writes for "nothing", and the prompt's own example.
+# The answer format, and what a model writes for "nothing".
 COMMENT = "【评论】"
-EXAMPLE = ("某某频道", "你今天吃了吗")
 NOTHING = ("无", "无。", "（无）", "(无)", "没有文字", "无文字")
 NAMED = "^([^：:]{1,24})[：:][\\s\\p{Z}]*(.+)$"
 NOTE_TYPES = ("梗图", "表情包", "其他")
@@ -40,11 +41,11 @@ def _said(line: Column) -> Column:
     )
 
 
-def clean_generated(df: DataFrame, raw: str = "raw", out: str = "text") -> DataFrame:
-    """The answer without copies of the prompt's example, furniture, or anything said twice."""
+def clean_generated(df: DataFrame, raw: str = "raw", out: str = "text", example: Sequence[str] = ()) -> DataFrame:
+    """The answer without furniture or anything said twice; one that repeats a phrase of the prompt's own `example` says nothing."""
     text = strip(F.regexp_replace(strip(F.col(raw)), "^`+|`+$", ""))
     nothing = (text == "") | text.isin(*NOTHING)
-    for mark in EXAMPLE:
+    for mark in example:
         nothing = nothing | F.contains(text, F.lit(mark))
     lines = F.filter(F.transform(F.split(text, LINE_BREAK), strip), lambda s: s != "")
     one = F.lit(1.0)
