@@ -86,9 +86,21 @@ def _draw(key: int, rank: int, start: int) -> int:
     return (((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & _MASK) >> 32
 
 
+def _mixed(rank: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """What a candidate itself brings to its draw."""
+    return (rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (start.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _numbers(key: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    x = key ^ mixed
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x >>= np.uint64(32)
+    return x
+
+
 def _draws(key: np.ndarray, rank: np.ndarray, start: np.ndarray) -> np.ndarray:
-    x = key ^ (rank.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (start.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return ((x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+    return _numbers(key, _mixed(rank, start))
 
 
 def _place_keys(key: int, first: int, n: int) -> np.ndarray:
@@ -105,32 +117,47 @@ class Agendas:
     def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
         self.ids: list[bytes] = []
-        self.fast: list[bool] = []  # whether the word is worked out together with others
+        self.size = np.zeros(1 << 10, np.int64)  # letters of a word that is worked out together with others, else 0
         self.first, self.count = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
-        self.rank, self.start, self.used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int16), 0
+        self.mixed, self.used = np.zeros(1 << 12, np.uint64), 0
 
     def add(self, words: list[str], fast: bool, ids: list[bytes], count: np.ndarray, ranks: np.ndarray, starts: np.ndarray) -> None:
         """`ranks` and `starts` are those of one word after the other, `count` of each."""
         n, end = len(self.ids), self.used + len(ranks)
         self.numbers.update(zip(words, range(n, n + len(words)), strict=True))
         self.ids += ids
-        self.fast += [fast] * len(words)
         while len(self.ids) > len(self.first):
-            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
-        while end > len(self.rank):
-            self.rank, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rank, self.start))
+            self.first, self.count, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count, self.size))
+        while end > len(self.mixed):
+            self.mixed = np.concatenate([self.mixed, np.zeros_like(self.mixed)])
         self.first[n:len(self.ids)] = self.used + np.cumsum(count) - count
         self.count[n:len(self.ids)] = count
-        self.rank[self.used:end], self.start[self.used:end] = ranks, starts
+        self.size[n:len(self.ids)] = np.fromiter(map(len, words), np.int64, len(words)) if fast else 0
+        self.mixed[self.used:end] = _mixed(ranks, starts)
         self.used = end
 
+    def skipping(self, numbers: np.ndarray, keys: np.ndarray, limit: int) -> np.ndarray:
+        """Which of these places skip a candidate; taken in parts that stay in a core's cache."""
+        found = np.zeros(len(numbers), bool)
+        for cut in range(0, len(numbers), 1 << 13):
+            own = numbers[cut:cut + (1 << 13)]
+            count = self.count[own]
+            ends = np.cumsum(count)
+            c = np.arange(int(ends[-1])) + np.repeat(self.first[own] - ends + count, count)
+            skip = np.flatnonzero(_numbers(np.repeat(keys[cut:cut + (1 << 13)], count), self.mixed[c]) < limit)
+            found[cut + np.searchsorted(ends, skip, side="right")] = True
+        return found
+
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         self.v, self.seed = vocabulary, seed
         self.limit = int(dropout * (1 << 32))
         self.agendas = Agendas()
-        self.letters = {c for c in vocabulary.letters if c in vocabulary.ids}
+        # by code point: the symbol of a letter that is a piece by itself, else -1; the last entry stands for all others
+        self.letters = np.full(max(map(ord, vocabulary.letters)) + 2, -1, np.int64)
+        own = {ord(c): k for c, k in vocabulary.letters.items() if c in vocabulary.ids}
+        self.letters[list(own)] = list(own.values())
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and outcome of merging symbols side by side; _NEVER where they do not merge."""
@@ -148,7 +175,7 @@ class Encoder:
         n, length = len(words), int(size.max())
         alive = np.arange(length) < size[:, None]
         symbol = np.full((n, length), _PAD)
-        symbol[alive] = np.fromiter(map(self.v.letters.__getitem__, "".join(words)), np.int64, int(size.sum()))
+        symbol[alive] = self._symbols(words)
         after = np.tile(np.arange(1, length + 1), (n, 1))
         before = np.tile(np.arange(-1, length - 1), (n, 1))
         agenda, outcome = np.full((n, length), _NEVER, np.int32), np.full((n, length), -1)
@@ -228,59 +255,68 @@ class Encoder:
             ids += [own] if own is not None else [self.v.byte_ids[b] for b in p.encode()]
         return struct.pack(f"<{len(ids)}i", *ids)
 
-    def _vectorised(self, word: str) -> bool:
-        return 1 < len(word) <= _SHORT and self.letters.issuperset(word)
+    def _symbols(self, words: list[str]) -> np.ndarray:
+        """Symbols of all letters of the words; -1 for a letter that is no piece."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        return self.letters[np.minimum(codes, len(self.letters) - 1)]
 
-    def _alike(self, words: list[str], places: list[int]) -> Iterator[list[int]]:
-        """The places in parts that are worked out together, words of like length in each."""
-        width = np.searchsorted(_WIDTHS, np.fromiter((len(words[k]) for k in places), np.int64, len(places)))
+    def _vectorised(self, words: list[str]) -> np.ndarray:
+        """The number of letters of each word that can be worked out together with others, else 0."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        if not words:
+            return size
+        known = np.logical_and.reduceat(self._symbols(words) >= 0, np.cumsum(size) - size)
+        return np.where(known & (size > 1) & (size <= _SHORT), size, 0)
+
+    def _alike(self, places: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+        """The places in parts that are worked out together, words of like length (`size`) in each."""
+        width = np.searchsorted(_WIDTHS, size)
         order = np.argsort(width, kind="stable")
-        width, places = width[order], np.array(places, np.int64)[order]
-        for same in np.split(places, np.flatnonzero(np.diff(width)) + 1):
-            yield from (same[cut:cut + (1 << 13)].tolist() for cut in range(0, len(same), 1 << 13))
+        width, places = width[order], places[order]
+        for same in np.split(places, np.flatnonzero(np.diff(width)) + 1) if len(places) else ():
+            yield from (same[cut:cut + (1 << 13)] for cut in range(0, len(same), 1 << 13))
 
     def _meet(self, words: list[str]) -> None:
         """Agendas of new words, those of like length worked out together."""
-        fast = [self._vectorised(w) for w in words]
-        for w in itertools.compress(words, [not x for x in fast]):
-            pieces, _, tried = self._by_heap(w, None)
+        size = self._vectorised(words)
+        for k in np.flatnonzero(size == 0).tolist():
+            pieces, _, tried = self._by_heap(words[k], None)
             rank, place = np.array(tried, np.int64).reshape(-1, 2).T
-            self.agendas.add([w], False, [self._bytes(pieces)], np.array([len(tried)]), rank, place)
-        for part in self._alike(words, [k for k, x in enumerate(fast) if x]):
-            if not part:
-                continue
-            own, steps = [words[k] for k in part], []
+            self.agendas.add([words[k]], False, [self._bytes(pieces)], np.array([len(tried)]), rank, place)
+        places = np.flatnonzero(size)
+        for part in self._alike(places, size[places]):
+            own, steps = [words[k] for k in part.tolist()], []
             made = self._together(own, None, steps)
             row, rank, place = (np.concatenate(x) for x in zip(*steps, strict=True))
             order = np.argsort(row, kind="stable")  # steps of a word stay in their order
             self.agendas.add(own, True, [ids for ids, _ in made], np.bincount(row, minlength=len(own)), rank[order], place[order])
 
-    def _drawn(self, words: list[str], keys: np.ndarray) -> list[tuple[bytes, int]]:
+    def _cut(self, words: list[str], keys: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         """Ids and skips of the words at places with these keys: every place judges its candidates by its own key."""
         if len(self.agendas.ids) > CACHED:
             self.agendas = Agendas()
         at = self.agendas
         self._meet([w for w in dict.fromkeys(words) if w not in at.numbers and len(w) <= _SHORT])
         number = np.fromiter(map(at.numbers.get, words, itertools.repeat(-1)), np.int64, len(words))
-        differs = number < 0  # long words are worked out at every place
-        short = np.flatnonzero(~differs)
-        own = number[short]
-        count = at.count[own]
-        c = np.arange(int(count.sum())) + np.repeat(at.first[own] - np.cumsum(count) + count, count)
-        skip = np.flatnonzero(_draws(np.repeat(keys[short], count), at.rank[c], at.start[c]) < self.limit)
-        differs[short[np.searchsorted(np.cumsum(count), skip, side="right")]] = True
-        out: list[tuple[bytes, int]] = [(at.ids[n], 0) if n >= 0 else (b"", 0) for n in number.tolist()]
-        together: list[int] = []
-        for k in np.flatnonzero(differs).tolist():
-            if number[k] >= 0 and at.fast[number[k]]:
-                together.append(k)
-            else:
-                pieces, skipped, _ = self._by_heap(words[k], int(keys[k]))
-                out[k] = self._bytes(pieces), skipped
-        for part in self._alike(words, together):
-            for k, made in zip(part, self._together([words[k] for k in part], keys[part]) if part else (), strict=True):
-                out[k] = made
-        return out
+        known = number >= 0  # long words are worked out at every place
+        short = np.flatnonzero(known)
+        differs = ~known
+        differs[short[at.skipping(number[short], keys[short], self.limit)]] = True
+        ids, skipped = [at.ids[n] if n >= 0 else b"" for n in number.tolist()], np.zeros(len(words), np.int64)
+        size = np.where(differs & known, at.size[number], 0)
+        for k in np.flatnonzero(differs & (size == 0)).tolist():
+            pieces, skipped[k], _ = self._by_heap(words[k], int(keys[k]))
+            ids[k] = self._bytes(pieces)
+        together = np.flatnonzero(size)
+        for part in self._alike(together, size[together]):
+            own = part.tolist()
+            for k, (made, n) in zip(own, self._together([words[k] for k in own], keys[part]), strict=True):
+                ids[k], skipped[k] = made, n
+        return ids, skipped
+
+    def _drawn(self, words: list[str], keys: np.ndarray) -> list[tuple[bytes, int]]:
+        ids, skipped = self._cut(words, keys)
+        return list(zip(ids, skipped.tolist(), strict=True))
 
     def encode_many(self, texts: list[str]) -> list[tuple[bytes, int]]:
         """For each whole text its ids as little-endian 32-bit numbers, and how many merges were skipped."""
@@ -292,11 +328,12 @@ class Encoder:
         runs: list[tuple[int, int, bool]] = []  # text, its next words, whether a sign stands before them
 
         def put() -> None:
-            done, at = self._drawn(words, np.concatenate(keys)) if words else [], 0
+            made, skips = self._cut(words, np.concatenate(keys)) if words else ([], np.zeros(0, np.int64))
+            before, at = np.concatenate([[0], np.cumsum(skips)]).tolist(), 0
             for n, size, signed in runs:
                 ids[n] += [sign] if signed else []
-                ids[n] += [d[0] for d in done[at:at + size]]
-                skipped[n] += sum([d[1] for d in done[at:at + size]])
+                ids[n] += made[at:at + size]
+                skipped[n] += before[at + size] - before[at]
                 at += size
             words.clear(), keys.clear(), runs.clear()
 
@@ -325,6 +362,17 @@ class Encoder:
         return b"".join(map(self.v.bytes_of.__getitem__, ids))[1:].decode() if len(ids) else ""
 
 
+#: The last encoder of this Python worker: the next task with the same settings goes on with the words it has met.
+_LAST: dict[tuple, Encoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary, *settings) -> Encoder:
+    if settings not in _LAST:
+        _LAST.clear()
+        _LAST[settings] = Encoder(vocabulary, *settings[1:])
+    return _LAST[settings]
+
+
 def encode(
     docs: DataFrame, text: str = "text", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED,
 ) -> DataFrame:
@@ -352,7 +400,7 @@ def _coded(docs: DataFrame, text: str, model: str, dropout: float, seed: int, di
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(shared.value, dropout, seed)
+        coder = _encoder(shared.value, model, dropout, seed)
         for whole in batches:
             for cut in range(0, whole.num_rows, 200):
                 batch = whole.slice(cut, 200)
